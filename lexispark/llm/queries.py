@@ -92,3 +92,17 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     from .packing import fill_report
 
     return fill_report(_packed(spark, d), table(spark, d, "pack_budgets"))
+
+
+@LLM.add("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from .residue import residue
+
+    return residue(table(spark, d, "documents")).select("doc_id")
+
+
+@LLM.add("p8_kinds")
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    from .residue import residue
+
+    return residue(table(spark, d, "documents"))

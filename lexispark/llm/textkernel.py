@@ -72,7 +72,7 @@ class Words:
 
     __slots__ = ("first", "hash", "n", "rec")
 
-    def __init__(self, texts: Sequence[str]) -> None:
+    def __init__(self, texts: Sequence[str], digits_alike: bool = False) -> None:
         self.n = len(texts)
         table = class_table()
         cps = codepoints(texts)
@@ -86,8 +86,10 @@ class Words:
             texts = list(texts)
             for i in which:
                 texts[i] = "".join(f if len(f := fold(c)) > 1 else c for c in texts[i])
-            self.__init__(texts)
+            self.__init__(texts, digits_alike)
             return
+        if digits_alike:
+            cls[(cls >= 48) & (cls <= 57)] = 48
         keep = cls != DEL
         if not keep.all():
             kept = np.cumsum(keep)
