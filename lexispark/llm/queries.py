@@ -106,3 +106,17 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     from .residue import residue
 
     return residue(table(spark, d, "documents"))
+
+
+@LLM.add("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .identifiers import found
+
+    return found(table(spark, d, "records"))
+
+
+@LLM.add("p2_redacted")
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from .identifiers import redacted
+
+    return redacted(table(spark, d, "records"))
