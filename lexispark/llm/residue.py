@@ -4,7 +4,7 @@ Plan. One Arrow pass cuts each document into segments (lines and sentences), giv
 and a 64-bit SimHash and the set of its words to every other segment, numbers masked. Then labels of whole-segment residue spread: segments meet labelled
 ones in four SimHash tables of 16 bits (two fingerprints that differ in three bits at most always meet), are verified by Hamming distance and by the share
 of common words, and become labelled themselves, until no connected segment is left. Only the labelled side of a round is broadcast, after its rows are counted.
-Placeholders inside real sentences are trusted labels too but don't spread: the sentence around them is ordinary.
+Placeholders and messages inside real sentences are trusted labels too but don't spread: the sentence around them is ordinary.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from ..plans.staging import checked_broadcast, stage
 from .textkernel import MIX1, Words, chunks, mix
 
 PLACEHOLDER, ERROR, SCRIPT, FILLER = 1, 2, 3, 4
-SEGMENTS = "doc_id bigint, segment bigint, simhash bigint, words array<bigint>, label int"
+SEGMENTS = "doc_id bigint, segment bigint, simhash bigint, words array<bigint>, label int, whole boolean"
 CUT = re.compile(r"[\n\r\t]+|(?<=[.!?;])\s+")
 
 # Forms that unfilled fields and unresolved values take, in the text as it stands.
@@ -89,20 +89,25 @@ def _rules() -> tuple[re.Pattern, dict[int, re.Pattern], ahocorasick.Automaton]:
 LONE = re.compile(r"[{<%$#«][^\W\d]|\{\d|NaN")
 
 
-def label(segment: str) -> int:
-    """The trusted label of a segment, 0 if there is none."""
+#: Least share of a segment that a message has to take up for the segment's label to spread.
+WHOLE = 0.4
+
+
+def label(segment: str) -> tuple[int, bool]:
+    """The trusted label of a segment, 0 if there is none, and whether the segment is nothing else, so that its label may spread."""
     placeholders, messages, _ = _rules()
     for m in placeholders.finditer(segment):
         # the words that are values only in this spelling
         if m.group().lower() in ("nan", "null", "undefined", "todo", "tbd", "fixme") and m.group() not in ("NaN", "null", "undefined", "TODO", "TBD", "FIXME"):
             continue
-        return PLACEHOLDER
+        return PLACEHOLDER, False
     f = folded(segment)
     for kind, p in messages.items():
-        if p.search(f):
-            return kind
+        if m := p.search(f):
+            return kind, len(m.group()) >= WHOLE * len(f.strip())
     words = re.findall(r"[^\W\d_]+", f)
-    return FILLER if sum(w in LATIN_FILLER for w in words) >= max(3, 0.6 * len(words)) else 0
+    n = sum(w in LATIN_FILLER for w in words)
+    return (FILLER, n >= 0.9 * len(words)) if n >= max(3, 0.6 * len(words)) else (0, False)
 
 
 def suspicious(text: str) -> bool:
@@ -147,18 +152,19 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in chunks(texts):
             owner: list[int] = []
             parts: list[str] = []
-            labels: list[int] = []
+            labels: list[tuple[int, bool]] = []
             for doc, text in zip(ids[i:j], texts[i:j]):
                 own = [s for s in CUT.split(text) if s]
                 parts += own
                 owner += [doc] * len(own)
-                labels += [label(s) if suspicious(s) else 0 for s in own] if suspicious(text) else [0] * len(own)
+                labels += [label(s) if suspicious(s) else (0, False) for s in own] if suspicious(text) else [(0, False)] * len(own)
             if not parts:
                 continue
             w = Words(parts, digits_alike=True)
             n = len(parts)
             for k in np.unique(w.rec[repeated(w.hash, w.rec)]):
-                labels[k] = labels[k] or FILLER
+                if not labels[k][0]:
+                    labels[k] = (FILLER, len(np.unique(w.hash[w.first[k] : w.first[k + 1]])) <= 2)
             sim = simhash(w.hash, w.rec, n)
             order = np.lexsort((w.hash, w.rec))
             h, r = w.hash[order], w.rec[order]
@@ -171,8 +177,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with np.errstate(over="ignore"):
                     key[some] = np.add.reduceat(mix(h), np.searchsorted(r, some))
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(n + 1)).astype(np.int32)), pa.array(h.view(np.int64) >> 24))
-            out = pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(key.view(np.int64)), pa.array(sim.view(np.int64)), lists, pa.array(labels, pa.int32())], names=["doc_id", "segment", "simhash", "words", "label"])
-            keep = np.asarray(labels) > 0
+            out = pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(key.view(np.int64)), pa.array(sim.view(np.int64)), lists, pa.array([k for k, _ in labels], pa.int32()), pa.array([b for _, b in labels])], names=["doc_id", "segment", "simhash", "words", "label", "whole"])
+            keep = np.array([k for k, _ in labels]) > 0
             keep |= np.diff(np.searchsorted(r, np.arange(n + 1))) > 0
             yield out.filter(pa.array(keep))
 
@@ -192,20 +198,20 @@ def residue(documents: DataFrame, similarity: float = 0.8, distance: int = 16) -
     rows = documents.select("doc_id", "text").where("doc_id is not null and text <> ''")
     seg = stage(rows.mapInArrow(_segments, SEGMENTS), "residue-segments")
     found = seg.where("label > 0").select("doc_id", "label")
-    rest = seg.where(f"label <> {PLACEHOLDER}")
-    known = seg.where(f"label > {PLACEHOLDER}").groupBy("segment").agg(F.first("simhash").alias("simhash"), F.first("words").alias("words"), F.min("label").alias("label"))
+    rest = seg.where("label = 0")
+    known = seg.where("whole").groupBy("segment").agg(F.first("simhash").alias("simhash"), F.first("words").alias("words"), F.min("label").alias("label"))
     frontier = known = stage(known, "residue-known")
     while True:
         near = _tables(frontier.select(F.col("simhash").alias("s"), F.col("words").alias("w"), F.col("label").alias("l"), F.col("simhash")))
         near = near.select("table", "bits", "s", "w", "l")
-        hit = _tables(rest.where("label = 0")).join(checked_broadcast(near), ["table", "bits"])
+        hit = _tables(rest).join(checked_broadcast(near), ["table", "bits"])
         hit = hit.where((F.bit_count(F.col("simhash").bitwiseXOR(F.col("s"))) <= distance) & (F.size(F.array_intersect("words", "w")) >= similarity * F.size(F.array_union("words", "w"))))
         fresh = hit.groupBy("segment").agg(F.first("simhash").alias("simhash"), F.first("words").alias("words"), F.min("l").alias("label"))
         fresh = stage(fresh.join(known.select("segment"), "segment", "left_anti"), "residue-fresh")
         if fresh.isEmpty():
             break
         known, frontier = known.unionByName(fresh), fresh
-    spread = rest.where("label = 0").select("doc_id", "segment").join(checked_broadcast(known.select("segment", F.col("label"))), "segment").select("doc_id", "label")
+    spread = rest.select("doc_id", "segment").join(checked_broadcast(known.select("segment", F.col("label"))), "segment").select("doc_id", "label")
     return found.unionByName(spread).groupBy("doc_id").agg(F.min("label").alias("label"))
 
 
