@@ -1,5 +1,8 @@
 """All queries of the core."""
 
+from functools import reduce
+
+from . import q_dictionary, q_scoring, q_text
 from .catalogue import Catalogue
 
-CORE = Catalogue()
+CORE = reduce(Catalogue.merge, [q_scoring.C, q_text.C, q_dictionary.C], Catalogue())

@@ -26,7 +26,8 @@ class Catalogue:
             run.__doc__, run.__name__ = f.__doc__, name
             self.queries[name] = run
             if sql:
-                self.sql[name] = sql
+                # the views are written as the parts of a WITH clause
+                self.sql[name] = sql if sql.lstrip().lower().startswith(("select", "with")) else "with " + sql
             return f
 
         return register
