@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,9 +53,18 @@ def tokenize(norm: Column) -> Column:
     return F.filter(F.split(norm, " "), lambda t: t != "")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once: the optimizer would else write a costly expression out at each use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ngrams(tokens: Column, longest: int) -> Column:
     """All runs of 1 to `longest` tokens, joined by a space."""
-    parts = [F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")) for n in range(1, longest + 1)]
+    return let(tokens, lambda t: _ngrams(t, longest))
+
+
+def _ngrams(tokens: Column, longest: int) -> Column:
+    parts = [F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " ")) for n in range(1, longest + 1)]
     return F.concat(*[F.when(F.size(tokens) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(range(1, longest + 1), parts)])
 
 

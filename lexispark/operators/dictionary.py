@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.text import ngrams, normalize_text, tokenize
+from ..functions.text import let, ngrams, normalize_text, tokenize
 from ..plans.staging import checked_broadcast
 
 
@@ -37,24 +37,21 @@ def by_code(dictionary: DataFrame) -> DataFrame:
     return dictionary.select(F.explode("codes").alias("code"), "term").groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms"))
 
 
-def match(texts: DataFrame, dictionary: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
-    """key, term, codes: every term that stands in the text as whole tokens, each once for a text.
+#: Terms that one automaton holds, about 100 bytes each; larger dictionaries are joined.
+AUTOMATON_TERMS = 1_000_000
 
-    Texts give their distinct n-grams up to the longest term and meet the terms in a hash join: broadcast if the dictionary is small.
-    """
-    longest = dictionary.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    grams = texts.select(key, F.explode(F.array_distinct(ngrams(tokenize(normalize_text(F.col(text), fold_sigma=True)), longest))).alias("term"))
-    return grams.join(checked_broadcast(dictionary), "term").select(key, "term", "codes")
 
+def match(texts: DataFrame, dictionary: DataFrame, key: str = "record_id", text: str = "text", whole_words: bool = True) -> DataFrame:
+    """key, term, codes: every term that stands in the normalized text, as whole tokens or anywhere, each once for a text.
 
-def match_substring(texts: DataFrame, dictionary: DataFrame, key: str = "record_id", text: str = "text", most: int = 1_000_000) -> DataFrame:
-    """key, term, codes: every term that stands anywhere in the normalized text, also inside words.
-
-    An automaton over all terms runs through Arrow batches; a dictionary beyond `most` terms is an error, for every executor holds it.
+    Texts are normalized in the JVM and stream past one automaton of all terms. A dictionary of more than AUTOMATON_TERMS terms isn't sent to
+    the executors: whole terms then meet the texts' n-grams in a join; terms inside words have no such way, which is an error.
     """
-    rows = dictionary.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} terms")
+    rows = dictionary.select("term", "codes").limit(AUTOMATON_TERMS + 1).collect()
+    if len(rows) > AUTOMATON_TERMS:
+        if not whole_words:
+            raise ValueError(f"more than {AUTOMATON_TERMS} terms")
+        return match_by_join(texts, dictionary, key, text)
     terms = texts.sparkSession.sparkContext.broadcast({r["term"]: list(r["codes"]) for r in rows})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +59,10 @@ def match_substring(texts: DataFrame, dictionary: DataFrame, key: str = "record_
 
         a = ahocorasick.Automaton()
         for t in terms.value:
-            a.add_word(t, t)
+            a.add_word(f" {t} " if whole_words else t, t)
         a.make_automaton()
         for b in batches:
-            found = [(k, t) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in (sorted({t for _, t in a.iter(s)}) if terms.value else ())]
+            found = [(k, t) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in (sorted({t for _, t in a.iter(f" {s} " if whole_words else s)}) if terms.value else ())]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found]), pa.array([terms.value[t] for _, t in found], pa.list_(pa.string()))], names=["key", "term", "codes"])
 
@@ -73,6 +70,18 @@ def match_substring(texts: DataFrame, dictionary: DataFrame, key: str = "record_
     return norm.mapInArrow(run, "key bigint, term string, codes array<string>").withColumnRenamed("key", key)
 
 
+def match_by_join(texts: DataFrame, dictionary: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
+    """The same for whole terms by joining the distinct n-grams of each text, up to the longest term, with the dictionary."""
+    longest = dictionary.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    grams = texts.select(key, F.explode(F.array_distinct(ngrams(tokenize(normalize_text(F.col(text), fold_sigma=True)), longest))).alias("term"))
+    return grams.join(checked_broadcast(dictionary), "term").select(key, "term", "codes")
+
+
+def match_substring(texts: DataFrame, dictionary: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
+    """key, term, codes: every term that stands anywhere in the normalized text, also inside words."""
+    return match(texts, dictionary, key, text, whole_words=False)
+
+
 def predict(texts: DataFrame, dictionary: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
     """key, codes: sorted distinct codes of the terms in each text; texts without a match are absent."""
     m = match(texts, dictionary, key, text).select(key, F.explode("codes").alias("code"))
@@ -92,19 +101,19 @@ def mine(mentions: DataFrame, shortest: int = 4, least: int = 1, share: float =
 
 def split_section(norm: str, headers: list[str], stops: list[str]) -> tuple[str, str]:
     """SQL for (segment, rest): from the earliest header to the first stop marker after it, and the text without that."""
-    at = "least(" + ", ".join(f"if(locate('{h}', {norm}) = 0, 2147483647, locate('{h}', {norm}))" for h in [*headers, headers[0]]) + ")"
+    at = "least(" + ", ".join(f"if(locate('{h}', {norm}) = 0, 1000000000, locate('{h}', {norm}))" for h in [*headers, headers[0]]) + ")"
     after = f"substring({norm}, {at})"
-    end = "least(" + ", ".join(f"if(locate('{s}', {after}) = 0, 2147483647, locate('{s}', {after}) - 1)" for s in [*stops, stops[0]]) + ")"
-    segment = f"if({at} = 2147483647, '', substring({after}, 1, {end}))"
-    rest = f"if({at} = 2147483647, {norm}, concat(substring({norm}, 1, {at} - 1), substring({after}, {end} + 1)))"
+    end = "least(" + ", ".join(f"if(locate('{s}', {after}) = 0, 1000000000, locate('{s}', {after}) - 1)" for s in [*stops, stops[0]]) + ")"
+    segment = f"if({at} = 1000000000, '', substring({after}, 1, {end}))"
+    rest = f"if({at} = 1000000000, {norm}, concat(substring({norm}, 1, {at} - 1), substring({after}, {end} + 1)))"
     return segment, rest
 
 
 def section_filter(texts: DataFrame, dictionary: DataFrame, headers: list[str], stops: list[str], code: str, key: str = "record_id", text: str = "text") -> DataFrame:
     """key, codes: without codes that match only inside the section, with `code` added where there is such a section. Headers and stops are normalized."""
     norm = texts.select(key, normalize_text(F.col(text), fold_sigma=True).alias("norm"))
-    segment, rest = split_section("norm", headers, stops)
-    parts = norm.select(key, F.expr(segment).alias("segment"), F.expr(rest).alias("rest"))
+    segment, rest = split_section("n", headers, stops)
+    parts = norm.select(key, F.expr(f"element_at(transform(array(norm), n -> struct({segment} as segment, {rest} as rest)), 1)").alias("x")).select(key, "x.segment", "x.rest")
     own = predict(parts, dictionary, key, "rest")
     flagged = parts.where("segment <> ''").select(key, F.array(F.lit(code)).alias("extra"))
     none = F.array().cast("array<string>")
@@ -113,13 +122,16 @@ def section_filter(texts: DataFrame, dictionary: DataFrame, headers: list[str],
 
 def negation_filter(texts: DataFrame, pairs: list[tuple[str, str, list[str]]], window: int = 4, key: str = "record_id", text: str = "text", codes: str = "codes") -> DataFrame:
     """key, codes: codes of a (negator, disease, codes) triple removed where the first tokens containing the two are at most window + 1 apart."""
-    t = texts.select(key, codes, tokenize(normalize_text(F.col(text), fold_sigma=True)).alias("tokens"))
-    out = F.col(codes)
-    for negator, disease, drop in pairs:
-        at = lambda s: F.array_position(F.transform("tokens", lambda x: F.contains(x, F.lit(s))), True)
-        near = (at(negator) > 0) & (at(disease) > 0) & (F.abs(at(negator) - at(disease)) <= window + 1)
-        out = F.when(near, F.array_except(out, F.array(*map(F.lit, drop)))).otherwise(out)
-    return t.select(key, out.alias(codes))
+
+    def kept(tokens: Column) -> Column:
+        out = F.col(codes)
+        for negator, disease, drop in pairs:
+            at = lambda s: F.array_position(F.transform(tokens, lambda x: F.contains(x, F.lit(s))), True)
+            near = (at(negator) > 0) & (at(disease) > 0) & (F.abs(at(negator) - at(disease)) <= window + 1)
+            out = F.when(near, F.array_except(out, F.array(*map(F.lit, drop)))).otherwise(out)
+        return out
+
+    return texts.select(key, let(tokenize(normalize_text(F.col(text), fold_sigma=True)), kept).alias(codes))
 
 
 def fuzzy_ratio(needle: str, text: str) -> float:

@@ -188,7 +188,7 @@ def coordinate_descent(cells: DataFrame, gold: DataFrame, grid: list[float], pas
                 break
         return pd.DataFrame({"code": list(t), "threshold": list(t.values())})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(lambda p: run(p), "code string, threshold double")
+    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "code string, threshold double")
 
 
 def grid_rows(values: dict[str, list[float]]) -> Iterator[dict[str, float]]:

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from . import q_dictionary, q_scoring, q_text
+from . import q_dictionary, q_fusion, q_scoring, q_text
 from .catalogue import Catalogue
 
-CORE = reduce(Catalogue.merge, [q_scoring.C, q_text.C, q_dictionary.C], Catalogue())
+CORE = reduce(Catalogue.merge, [q_scoring.C, q_text.C, q_dictionary.C, q_fusion.C], Catalogue())

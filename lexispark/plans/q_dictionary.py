@@ -64,6 +64,11 @@ def match_boundary(s, d):
     return D.match(V.records(s, d), dictionary(s, d)).select("record_id", "term", F.array_join("codes", "|").alias("codes"))
 
 
+@C.add("match_boundary_by_join", MATCH + "select record_id, term, string_agg(code, '|' order by code) as codes from ma group by all")
+def match_boundary_by_join(s, d):
+    return D.match_by_join(V.records(s, d), dictionary(s, d)).select("record_id", "term", F.array_join("codes", "|").alias("codes"))
+
+
 @C.add("match_substring", MATCH + "select record_id, term, string_agg(distinct code, '|' order by code) as codes from nt join di on contains(norm, term) group by all")
 def match_substring(s, d):
     return D.match_substring(V.records(s, d), dictionary(s, d)).select("record_id", "term", F.array_join("codes", "|").alias("codes"))
@@ -105,8 +110,9 @@ _B = "".join(f" union select record_id, c from nt cross join (values {', '.join(
 
 @C.add("rule_boosts", MATCH + ", b as (select record_id, code from mc" + _B + ") select record_id, string_agg(code, '|' order by code) as codes from b group by all")
 def rule_boosts(s, d):
-    r = V.records(s, d).where("text is not null").select("record_id", T.normalize_text(F.col("text"), fold_sigma=True).alias("norm"))
-    j = r.join(coded(s, d), "record_id", "left").select("record_id", L.boost(F.col("norm"), F.coalesce("codes", F.array().cast("array<string>")), BOOSTS).alias("codes"))
+    r = V.records(s, d).where("text is not null").join(coded(s, d), "record_id", "left")
+    codes = F.coalesce("codes", F.array().cast("array<string>"))
+    j = r.select("record_id", T.let(T.normalize_text(F.col("text"), fold_sigma=True), lambda n: L.boost(n, codes, BOOSTS)).alias("codes"))
     return j.where(F.size("codes") > 0).select("record_id", F.array_join(F.array_sort("codes"), "|").alias("codes"))
 
 
@@ -114,7 +120,7 @@ def rule_boosts(s, d):
     "section_filter",
     MATCH
     + f""", p1 as (select record_id, norm, strpos(norm, '{FAMILY[0]}') as h from nt), p2 as (select *, case when h = 0 then '' else norm[h:] end as tail from p1),
-p3 as (select *, least({', '.join(f"case when strpos(tail, '{x}') = 0 then 2147483647 else strpos(tail, '{x}') - 1 end" for x in STOPS)}) as e from p2),
+p3 as (select *, least({', '.join(f"case when strpos(tail, '{x}') = 0 then 1000000000 else strpos(tail, '{x}') - 1 end" for x in STOPS)}) as e from p2),
 p4 as (select record_id, h, case when h = 0 then norm else norm[:h - 1] || tail[e + 1:] end as rest from p3),
 x as (select distinct record_id, code from p4 join di on contains(' ' || trim(regexp_replace(rest, ' +', ' ', 'g')) || ' ', ' ' || term || ' ') union select record_id, 'FAM' from p4 where h > 0)
 select record_id, string_agg(code, '|' order by code) as codes from x group by all""",
