@@ -108,7 +108,7 @@ def merge_containment(model: Column, extra: Column) -> Column:
 
 def merged(model: DataFrame, extra: DataFrame) -> DataFrame:
     """record_id, span_start, span_end after the fold, extra spans in order of start and falling end."""
-    s = F.struct(F.col("span_start").cast("int"), F.col("span_end").cast("int"))
+    s = F.struct(F.col("span_start").cast("int").alias("span_start"), F.col("span_end").cast("int").alias("span_end"))
     a = model.groupBy("record_id").agg(F.array_sort(F.collect_set(s)).alias("a"))
     order = F.struct("span_start", (-F.col("span_end")).alias("k"), s.alias("s"))
     b = extra.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x.s).alias("b"))

@@ -90,7 +90,7 @@ def token_f1(s, d):
     return x.withColumn("f1", F.round("f1", 6))
 
 
-PRIOR = VALID + f", pr as (select {V.norm_sql('mention')} as key, code, count(*) as n from ok where source = 'gold' and code is not null group by all having key <> '')"
+PRIOR = VALID + f", pk as (select {V.norm_sql('mention')} as key, code from ok where source = 'gold' and code is not null), pr as (select key, code, count(*) as n from pk where key <> '' group by key, code)"
 
 
 @C.add("linker_prior", PRIOR + "select key, code, n from pr")
