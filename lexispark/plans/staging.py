@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one or two longs that may be broadcast: about 64 MB in an executor's hash table.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a few short columns that may be broadcast: some 50 MB in an executor's hash table.
+BROADCAST_ROWS = 500_000
 
 _local: list[str] = []
 
