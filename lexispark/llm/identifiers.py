@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_text
 from ..plans.staging import checked_broadcast, stage
 
 INSTANCES = "record_id bigint, kind string, found_value string, begin int, seed boolean, tokens array<string>, patterns array<string>"
@@ -53,6 +54,8 @@ FULL = rf"{WORD}(?:-{WORD})?"
 NAME = re.compile(rf"(?<![\w@.&/-])(?=((?!(?:Dr|Mr|Mrs|Ms|Prof|Δρ)\b)(?:{INITIAL}{S}?{FULL}|{FULL},?{S}(?:{INITIAL}|{FULL})(?![\w@]))))[{UPPER}]")
 #: What settles by itself that a person follows.
 TITLE = re.compile(r"(?:^|[^\w])(?:κ\.|κα|κος|Δρ\.?|Dr\.?|Mr\.?|Mrs\.?|Ms\.?|Ονοματεπώνυμο:|Full name:)\s$")
+#: Heads of signs, scales and syndromes: the name after them is no person's.
+EPONYM = frozenset("σημειο δοκιμασια κλιμακα συνδρομο νοσοσ sign test scale syndrome disease".split())
 SINGLE = re.compile(rf"(?<!\w)(?:κ\.|κα|Δρ\.|Dr\.?|Mr\.?|Mrs\.?)\s({FULL})")
 
 
@@ -120,7 +123,7 @@ def instances(text: str) -> list[tuple[str, int, int, bool]]:
     for a, b, seed in names:
         if seed:
             take("name", a, b, True)
-    out += [("name", a, b, False) for a, b, seed in names if not seed and free(a, b)]
+    out += [("name", a, b, False) for a, b, seed in names if not seed and free(a, b) and EPONYM.isdisjoint(_plain(text[a:b]).split())]
     if "κ." in text or "Δρ" in text or "Dr" in text or "κα " in text or "Mr" in text:
         for m in SINGLE.finditer(text):
             take("name", m.start(1), m.end(1), True)
@@ -186,8 +189,12 @@ class Extraction:
             b = links.groupBy("kind", "token").agg(F.count("*").alias("n"))
             fresh = a.join(b, ["kind", "token"]).where("k >= 0.8 * n").select("kind", "token")
             known = stage(known.union(fresh).distinct(), "identifiers-known")
+        # a word that introduces names in an accepted pattern is no part of one
+        heads = good.where("kind = 'name'").select("kind", F.regexp_extract("pattern", r"(\S+) _", 1).alias("head")).where("char_length(head) > 2").distinct()
+        new = self._inside(open_kinds.where(~F.col("seed")), good).withColumn("head", F.element_at(F.split(normalize_text(F.col("found_value"), fold_sigma=True), " "), 1))
+        new = new.join(checked_broadcast(heads), ["kind", "head"], "left_anti")
         cols = ["record_id", "kind", "found_value", "begin"]
-        return sure.select(*cols).unionByName(self._inside(open_kinds.where(~F.col("seed")), good).select(*cols)).dropDuplicates(["record_id", "kind", "begin"])
+        return sure.select(*cols).unionByName(new.select(*cols)).dropDuplicates(["record_id", "kind", "begin"])
 
     @staticmethod
     def _inside(rows: DataFrame, good: DataFrame) -> DataFrame:
