@@ -29,7 +29,7 @@ def pair_rows(baskets: DataFrame, items: str, block: int = 64) -> DataFrame:
     k = F.ceil(F.size("items") / F.lit(block)).cast("int")
     chunk = lambda i: F.slice("items", i * block + 1, F.lit(block))
     large = own.where(F.size("items") > block).withColumn("i", F.explode(F.sequence(F.lit(0), k - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), k - 1)))
-    products = large.select("i", "j", chunk(F.col("i")).alias("left"), chunk(F.col("j")).alias("right")).repartition(F.rand(7))
+    products = large.select("i", "j", chunk(F.col("i")).alias("left"), chunk(F.col("j")).alias("right")).repartition(F.xxhash64("i", "j", "left", "right"))
     apart = products.where("i < j").select(F.explode(_between(F.col("left"), F.col("right"))).alias("p"))
     within = products.where("i = j").select(F.explode(_inside(F.col("left"))).alias("p"))
     return small.unionByName(apart).unionByName(within).select("p.a", "p.b")
