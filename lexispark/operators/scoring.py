@@ -52,7 +52,9 @@ def per_class(gold: DataFrame, preds: DataFrame, labels: DataFrame) -> DataFrame
     j = preds.join(gold.select("record_id", "groups"), "record_id")
     hits = j.select("system_name", F.explode(F.filter("groups", lambda g: F.arrays_overlap(g, F.col("codes")))).alias("g")).select("system_name", F.explode(F.array_distinct("g")).alias("code")).groupBy("system_name", "code").agg(F.count("*").alias("hits"))
     fp = j.select("system_name", F.explode(wrong_codes("groups", "codes")).alias("code")).groupBy("system_name", "code").agg(F.count("*").alias("fp"))
-    systems = [r[0] for r in preds.select("system_name").distinct().limit(1000).collect()]
+    systems = [r[0] for r in preds.select("system_name").distinct().limit(1001).collect()]
+    if len(systems) > 1000:
+        raise ValueError("more than 1000 systems")
     grid = labels.select("code").distinct().withColumn("system_name", F.explode(F.array(*map(F.lit, systems)) if systems else F.array().cast("array<string>")))
     zero = {"support": 0, "hits": 0, "fp": 0}
     r = grid.join(F.broadcast(support), "code", "left").join(F.broadcast(hits), ["system_name", "code"], "left").join(F.broadcast(fp), ["system_name", "code"], "left").na.fill(zero)

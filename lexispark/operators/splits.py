@@ -90,14 +90,17 @@ def multipliers(labels: DataFrame, bands: tuple[tuple[int, int], ...] = ((50, 4)
     return labels.join(F.broadcast(label_counts(labels)), "code").groupBy("record_id").agg(F.max(m).cast("bigint").alias("copies"))
 
 
-def augment(records: DataFrame, copies: DataFrame, synonyms: DataFrame, p: float = 0.35, seed: int = 42) -> DataFrame:
+def augment(records: DataFrame, copies: DataFrame, synonyms: DataFrame, p: float = 0.35, seed: int = 42, most: int = 10_000) -> DataFrame:
     """record_id, copy, text: copies of records with the terms of a code replaced at random by other terms of it.
 
     synonyms: term, codes (normalized, as the dictionary). A term that is a single word is swapped where a hash of (record, copy, term) is below p.
     """
     by = synonyms.select("term", F.explode("codes").alias("code"))
     pairs = by.alias("a").join(by.alias("b"), "code").where("a.term <> b.term").groupBy(F.col("a.term").alias("term")).agg(F.min("b.term").alias("other"))
-    swaps = {r["term"]: r["other"] for r in pairs.where("instr(term, ' ') = 0").limit(100_000).collect()}
+    rows = pairs.where("instr(term, ' ') = 0").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms to swap")
+    swaps = {r["term"]: r["other"] for r in rows}
     table = F.create_map(*[F.lit(x) for kv in swaps.items() for x in kv]) if swaps else None
     r = records.join(copies.where("copies > 0"), "record_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     if table is None:
