@@ -42,6 +42,10 @@ def _top(scores: DataFrame, k: int, tie: Column | str = "corpus_ix") -> DataFram
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _named(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    return hits.join(checked_broadcast(corpus.select("corpus_ix", "code")), "corpus_ix").select("record_id", "code", "corpus_ix", "score", "rank")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """record_id, token, qtf: tokens with their multiplicity."""
     return queries.select("record_id", F.explode("tokens").alias("token")).groupBy("record_id", "token").agg(F.count("*").alias("qtf"))
@@ -53,9 +57,10 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     tf = corpus.select("code", "corpus_ix", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("code", "corpus_ix", "dl", "token").agg(F.count("*").alias("f"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    postings = tf.join(df, "token").join(F.broadcast(stats)).select("token", "code", "corpus_ix", weight.alias("w"))
-    s = query_terms(queries).join(checked_broadcast(postings), "token").groupBy("record_id", "code", "corpus_ix").agg(F.sum(F.col("qtf") * F.col("w")).alias("score")).where("score > 0")
-    return _top(s, k)
+    postings = tf.join(df, "token").join(F.broadcast(stats)).select("token", "corpus_ix", weight.alias("w"))
+    # whole numbers are the only keys of the large aggregation; codes come back to the hits that are left
+    s = query_terms(queries).join(checked_broadcast(postings), "token").groupBy("record_id", "corpus_ix").agg(F.sum(F.col("qtf") * F.col("w")).alias("score")).where("score > 0")
+    return _named(_top(s, k), corpus)
 
 
 def tfidf(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -68,9 +73,9 @@ def tfidf(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     postings = w.select("token", "code", "corpus_ix", "idf", (F.col("w") / norm).alias("w"))
     q = query_terms(queries).join(checked_broadcast(idf), "token").select("record_id", "token", (F.col("qtf") * F.col("idf")).alias("q"))
     length = q.groupBy("record_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
-    s = q.join(checked_broadcast(postings.select("token", "code", "corpus_ix", "w")), "token").groupBy("record_id", "code", "corpus_ix").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
-    s = s.join(length, "record_id").select("record_id", "code", "corpus_ix", (F.col("dot") / F.col("length")).alias("score")).where("score > 0")
-    return _top(s, k, F.desc("corpus_ix"))
+    s = q.join(checked_broadcast(postings.select("token", "corpus_ix", "w")), "token").groupBy("record_id", "corpus_ix").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
+    s = s.join(length, "record_id").select("record_id", "corpus_ix", (F.col("dot") / F.col("length")).alias("score")).where("score > 0")
+    return _named(_top(s, k, F.desc("corpus_ix")), corpus)
 
 
 def dense(corpus: DataFrame, queries: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
