@@ -1,10 +1,10 @@
 """Same or near-same records on both sides of a split: a full-text index of evaluation shards, through which training records stream.
 
-Plan. (1) One Arrow pass turns each text into word hashes and keeps few of its five-word runs (winnowing, so
-that a run of MEET words in common always leaves a common seed) and a min-hash sketch. Texts of the same words
-become one class, so a group of exact copies is one row from here on. (2) Seeds are counted by side with map-side
-aggregation; only seeds whose evaluation and training classes make at most `cap` pairs are joined, the sketch
-bands take in larger groups of near-copies. This routes each training class to the index shards where it may match. (3) Each
+Plan. (1) One Arrow pass turns each text into word hashes, a signature and its number of distinct five-word runs. Texts of the same
+words become one class, so a group of exact copies is one row from here on. (2) A pair has to share `need` = share of the runs of its
+smaller text. Runs are counted by side; of the smaller text only those that also stand on the other side can be in common, and of n such runs any
+n - need + k hold k of the common ones. So each text sends its rarest n - need + k runs, most texts none, and whatever holds k of them on the other
+side is a candidate: no pair is lost, and runs that very many texts hold are only sent where the text has hardly any others. (3) Each
 shard builds an FM-index of its evaluation texts and streams its training texts through backward search; the
 runs found are located, merged into maximal matches along diagonals, and counted exactly.
 """
@@ -16,7 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.staging import checked_broadcast, stage
@@ -24,33 +26,12 @@ from .fmindex import FMIndex
 from .textkernel import MIX1, Words, chunks, mix, windows
 
 RUN = 5
-#: Seeds are the least of each WINDOW neighbouring runs; a common run of RUN + WINDOW - 1 words has a common seed.
-WINDOW = 7
-SEED_BITS = np.uint64((1 << 44) - 1)
-BANDS, ROWS = 12, 4
-#: Texts of fewer runs keep every one of them as a seed.
-SHORT = 24
-#: Runs of short texts that one broadcast holds, 8 bytes each.
-SHORT_RUNS = 2_000_000
-SKETCH = "record_id bigint, side int, sig bigint, runs int, seeds array<bigint>, bands array<bigint>"
-
-
-def winnow(h: np.ndarray, rec: np.ndarray, n: int) -> np.ndarray:
-    """Which runs are seeds: of every WINDOW neighbours in one text the one of least hash, all of a short text."""
-    count = np.bincount(rec, minlength=n)
-    chosen = np.zeros(len(h), bool)
-    chosen[count[rec] < SHORT] = True
-    if len(h) >= WINDOW:
-        view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-        least = view.argmin(1) + np.arange(len(view))
-        chosen[least[rec[: len(view)] == rec[WINDOW - 1 :]]] = True
-    return chosen
-
-
-def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
-    """Arrow lists of the values by owner (sorted)."""
-    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+#: Bits of a run's hash that are shuffled; equal ones of different runs only make a candidate more.
+SEED_BITS = np.uint64((1 << 40) - 1)
+#: Most bits of the filter that goes to the executors whole; fuller ones let more rows pass, none is lost.
+FILTER_BITS = 30
+SLICE = 1 << 20
+SKETCH = "record_id bigint, side int, sig bigint, runs int"
 
 
 def signature(words: Words) -> np.ndarray:
@@ -64,55 +45,29 @@ def signature(words: Words) -> np.ndarray:
         return mix(sig + np.diff(words.first).astype(np.uint64))
 
 
-def sketch_batch(ids: list[int], sides: list[int], texts: list[str]) -> pa.RecordBatch:
-    """A row for each text: signature of its words, number of distinct runs, seeds and sketch bands."""
-    n = len(texts)
-    words = Words(texts)
-    h, rec, _ = windows(words, RUN)
-    sig = signature(words)
-    distinct = np.zeros(n, np.int32)
-    bands = np.zeros((n, BANDS), np.uint64)
-    chosen = winnow(h, rec, n)
-    seeds, owner = h[chosen] & SEED_BITS, rec[chosen]
-    if len(h):
-        order = np.lexsort((h, rec))
-        hs, rs = h[order], rec[order]
-        new = np.ones(len(hs), bool)
-        new[1:] = (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1])
-        distinct = np.bincount(rs[new], minlength=n).astype(np.int32)
-        some = np.flatnonzero(np.bincount(rec, minlength=n))
-        begin = np.searchsorted(rec, some)
-        with np.errstate(over="ignore"):
-            for b in range(BANDS):
-                key = np.full(len(some), b + 1, np.uint64)
-                for r in range(ROWS):
-                    salt = np.uint64((2 * (b * ROWS + r) + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))
-                    key = mix(key + np.minimum.reduceat((h ^ (h >> np.uint64(31))) * salt, begin))
-                bands[some, b] = key & SEED_BITS
-        order = np.lexsort((seeds, owner))
-        seeds, owner = seeds[order], owner[order]
-        new = np.ones(len(seeds), bool)
-        new[1:] = (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])
-        seeds, owner = seeds[new], owner[new]
-    has = distinct > 0
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.asarray(ids, np.int64)),
-            pa.array(np.asarray(sides, np.int32)),
-            pa.array(sig.view(np.int64)),
-            pa.array(distinct),
-            _lists(seeds.view(np.int64), owner, n),
-            _lists(bands.ravel().view(np.int64), np.repeat(np.arange(n), BANDS), n),
-        ],
-        names=["record_id", "side", "sig", "runs", "seeds", "bands"],
-    ).filter(pa.array(has))
+def _unique(h: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value of each text once, by text."""
+    order = np.lexsort((h, rec))
+    h, rec = h[order], rec[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (rec[1:] != rec[:-1])
+    return h[new], rec[new]
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Words]]:
     for b in batches:
         ids, sides, texts = (b.column(i).to_pylist() for i in range(3))
         for i, j in chunks(texts):
-            yield sketch_batch(ids[i:j], sides[i:j], texts[i:j])
+            yield np.array(ids[i:j], np.int64), np.array(sides[i:j], np.int32), Words(texts[i:j])
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text that has runs: signature of its words, number of distinct runs."""
+    for ids, sides, words in _read(batches):
+        h, rec, _ = windows(words, RUN)
+        runs = _distinct(h, rec, words.n).astype(np.int32)
+        out = [pa.array(ids), pa.array(sides), pa.array(signature(words).view(np.int64)), pa.array(runs)]
+        yield pa.RecordBatch.from_arrays(out, names=["record_id", "side", "sig", "runs"]).filter(pa.array(runs > 0))
 
 
 def match_shard(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -188,34 +143,86 @@ class SplitOverlap:
     records: record_id bigint, split string, text string; further columns are ignored. Null ids, null splits and null or empty texts
     take no part, and a text of fewer than five words has no run and so no partner; a record given more than once counts once.
     share: least share of the distinct five-word runs of the text that has fewer of them.
-    votes: seeds in common that route a pair (fewer for short texts). cap: most pairs that one seed makes; groups
-    of near-copies beyond it meet in the sketch bands, which have no cap. shard: evaluation classes of one index.
+    hits: sent runs in common that make a candidate; any number is exact, a larger one sends more runs and checks fewer pairs.
+    shard: evaluation classes of one index. stream: training classes that one task takes through it.
     """
 
-    def __init__(self, records: DataFrame, train: str = "train", share: float = 0.5, votes: int = 3, cap: int = 64, shard: int = 400, stream: int = 2000) -> None:
-        self.share, self.votes, self.cap, self.shard, self.stream = share, votes, cap, shard, stream
+    def __init__(self, records: DataFrame, train: str = "train", share: float = 0.5, hits: int = 5, shard: int = 400, stream: int = 2000) -> None:
+        self.share, self.hits, self.shard, self.stream = share, hits, shard, stream
         self.texts = records.select("record_id", F.when(F.col("split") == train, 1).when(F.col("split").isNotNull(), 2).alias("side"), "text").where("record_id is not null and side is not null and text <> ''")
 
     def sketches(self) -> DataFrame:
         return self.texts.mapInArrow(_sketches, SKETCH)
 
+    def _runs(self, others: DataFrame, only: Broadcast | None = None) -> DataFrame:
+        """seed, rep, side, runs: the runs of each class. others: record_id, sig, as: side of the texts whose own isn't that of their class, 0 for further copies.
+
+        only: a bit for each value that a seed may have, to leave out other seeds.
+        """
+
+        def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, sides, words in _read(batches):
+                h, rec, _ = windows(words, RUN)
+                count = _distinct(h, rec, words.n).astype(np.int32)
+                h = h & SEED_BITS
+                if only is not None:
+                    at = h & np.uint64(len(only.value) * 8 - 1)
+                    keep = (only.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    h, rec = h[keep], rec[keep]
+                h, rec = _unique(h, rec)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rec, np.arange(words.n + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sides), pa.array(signature(words).view(np.int64)), pa.array(count), lists], names=["record_id", "side", "sig", "runs", "seeds"])
+
+        rows = self.texts.mapInArrow(seeds, "record_id bigint, side int, sig bigint, runs int, seeds array<bigint>").where("size(seeds) > 0")
+        rows = rows.join(checked_broadcast(others), ["record_id", "sig"], "left").withColumn("side", F.coalesce("as", "side")).where("side > 0")
+        return rows.select(F.explode("seeds").alias("seed"), F.col("record_id").alias("rep"), "side", "runs")
+
+    def _candidates(self, classes: DataFrame, members: DataFrame) -> DataFrame:
+        """rep_e, rep_t of every two classes that may have the share of runs in common."""
+        others = members.where("rep <> record_id or sides = 3").groupBy("record_id", "sig").agg(F.max(F.when(F.col("rep") == F.col("record_id"), F.col("sides")).otherwise(0)).alias("as"))
+        others = stage(others, "overlap-others")
+        w = W.partitionBy("seed")
+        is_t, is_e = F.col("side").bitwiseAND(1), F.shiftright("side", 1)
+        shared = self._runs(others).select("seed", "rep", "side", F.sum(is_t).over(w).cast("int").alias("t"), F.sum(is_e).over(w).cast("int").alias("e")).where("t > 0 and e > 0")
+        # one whole number for each run: the side of the smaller text, the texts of the other side that hold the run, its seed
+        packed = lambda role, f: F.lit((role - 1) << 62).bitwiseOR(F.shiftleft(F.least(f, F.lit((1 << 22) - 1)).cast("bigint"), 40)).bitwiseOR(F.col("seed"))
+        mine = F.when(F.col("side") == 1, F.array(packed(1, F.col("e")))).when(F.col("side") == 2, F.array(packed(2, F.col("t")))).otherwise(F.array(packed(1, F.col("e")), packed(2, F.col("t"))))
+        own = shared.select("rep", F.explode(mine).alias("x")).groupBy("rep").agg(F.collect_list("x").alias("a")).join(classes.select("rep", "side", "runs"), "rep")
+        own = own.withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(self.share) * F.col("runs")).cast("int"))).where("size(a) >= need").withColumn("k", F.least(F.lit(self.hits), "need"))
+        own = own.withColumn("role", F.explode(F.when(F.col("side") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("side"))))
+        own = own.withColumn("a", F.sort_array(F.array_distinct(F.when(F.col("side") == 3, F.filter("a", lambda x: F.shiftrightunsigned(x, 62) == F.col("role") - 1)).otherwise(F.col("a"))))).where("size(a) >= need")
+        first = F.slice("a", 1, F.least(F.size("a"), F.size("a") - F.col("need") + F.col("k")))
+        sent = own.select(F.col("rep").alias("small"), F.col("runs").alias("least"), "role", "k", F.explode(first).alias("x")).select(F.col("x").bitwiseAND(int(SEED_BITS)).alias("seed"), "small", "least", "role", "k")
+        sent = stage(sent, "overlap-sent")
+        held = self._runs(others, self._filter(sent)).select("seed", F.col("rep").alias("large"), F.col("side").alias("side_l"), "runs")
+        met = sent.join(held, "seed").where("small <> large and runs >= least and (side_l & (3 - role)) > 0")
+        pick = lambda role: F.when(F.col("role") == role, F.col("small")).otherwise(F.col("large"))
+        return met.select(pick(2).alias("rep_e"), pick(1).alias("rep_t"), "k").groupBy("rep_e", "rep_t").agg(F.count("*").alias("n"), F.min("k").alias("k")).where("n >= k").select("rep_e", "rep_t")
+
+    @staticmethod
+    def _filter(sent: DataFrame) -> Broadcast:
+        """A bit set for every seed sent, some eight bits for each up to 2 ** FILTER_BITS."""
+        bits = min(max(int(sent.count() * 8).bit_length(), 20), FILTER_BITS)
+
+        def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            part = np.zeros(SLICE, bool)
+            part[rows["at"].to_numpy() % SLICE] = True
+            return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(part, bitorder="little").tobytes()]})
+
+        at = sent.select(F.col("seed").bitwiseAND((1 << bits) - 1).alias("at")).distinct().withColumn("slice", F.shiftright("at", 20))
+        out = np.zeros((1 << bits) // 8, np.uint8)
+        for r in at.groupBy("slice").applyInPandas(fill, "slice bigint, bits binary").toLocalIterator():
+            out[r["slice"] * SLICE // 8 :][: SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
+        return sent.sparkSession.sparkContext.broadcast(out)
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Matches between class representatives, and membership (record_id, side, rep)."""
         sk = stage(self.sketches(), "overlap-sketch")
-        classes = sk.groupBy("sig").agg(F.min("record_id").alias("rep"), F.bit_or("side").alias("side"), F.first("runs").alias("runs"), F.first("seeds").alias("seeds"), F.first("bands").alias("bands"))
+        classes = sk.groupBy("sig").agg(F.min("record_id").alias("rep"), F.bit_or("side").alias("side"), F.first("runs").alias("runs"))
         classes = stage(classes, "overlap-classes")
-        ids = classes.select("sig", "rep", F.col("side").alias("sides"))
-        members = sk.select("record_id", "side", "sig").distinct().join(ids, "sig").select("record_id", "side", "rep")
-
-        is_t, is_e = F.col("side").bitwiseAND(1), F.col("side").bitwiseAND(2) / 2
-        seeds = classes.select("rep", "side", F.least(F.lit(self.votes), F.ceil(F.size("seeds") / 5)).cast("int").alias("need"), F.explode("seeds").alias("seed"))
-        seeds = self._with_short(seeds, classes)
-        shared = seeds.groupBy("seed").agg(F.sum(is_t).alias("t"), F.sum(is_e).cast("bigint").alias("e")).where((F.col("t") > 0) & (F.col("e") > 0) & (F.col("t") * F.col("e") <= self.cap)).select("seed")
-        routed = self._meet(seeds.join(shared, "seed"), "seed").groupBy("rep_e", "rep_t").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("rep_e", "rep_t")
-        bands = classes.select("rep", "side", F.lit(1).alias("need"), F.posexplode("bands").alias("band", "key"))
-        both = bands.groupBy("band", "key").agg(F.bit_or("side").alias("both"), F.count("*").alias("n")).where("both = 3 and n > 1").select("band", "key")
-        close = self._meet(bands.join(both, ["band", "key"]), "band", "key").select("rep_e", "rep_t")
-        pairs = stage(routed.union(close).distinct(), "overlap-routes")
+        members = sk.select("record_id", "side", "sig").distinct().join(classes.select("sig", "rep", F.col("side").alias("sides")), "sig")
+        pairs = stage(self._candidates(classes, members), "overlap-routes")
+        members = members.select("record_id", "side", "rep")
 
         # texts of the routed classes: the ids are joined by broadcast only if they are few
         wanted = pairs.select(F.explode(F.array("rep_e", "rep_t")).alias("record_id")).distinct()
@@ -236,41 +243,6 @@ class SplitOverlap:
         same = classes.where("side = 3").select(F.col("rep").alias("rep_e"), F.col("rep").alias("rep_t"), *[F.col("runs").cast("bigint").alias(c) for c in ("runs_e", "runs_t", "common")], F.lit(1).cast("bigint").alias("matches"), F.lit(None).cast("bigint").alias("longest"))
         return found.union(same), members
 
-    def _with_short(self, seeds: DataFrame, classes: DataFrame) -> DataFrame:
-        """Seeds with, for longer texts, every run that is also one of a short text.
-
-        Short texts have all their runs as seeds, longer ones only some; a second pass over the texts closes that gap exactly. It runs only
-        if there are short texts; their runs go to the executors in blocks of SHORT_RUNS.
-        """
-        runs = classes.where(F.col("runs") < SHORT).select(F.explode("seeds").alias("seed")).distinct()
-        total = runs.count()
-        blocks = -(-total // SHORT_RUNS)
-        spark = classes.sparkSession
-        for k in range(blocks):
-            rows = runs.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k).collect()
-            block = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in rows], np.int64)))
-
-            def hits(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    texts = b.column(0).to_pylist()
-                    for i, j in chunks(texts):
-                        words = Words(texts[i:j])
-                        h, rec, _ = windows(words, RUN)
-                        seed = (h & SEED_BITS).view(np.int64)
-                        keep = (np.bincount(rec, minlength=words.n)[rec] >= SHORT) & np.isin(seed, block.value)
-                        yield pa.RecordBatch.from_arrays([pa.array(signature(words)[rec[keep]].view(np.int64)), pa.array(seed[keep])], names=["sig", "seed"])
-
-            more = self.texts.select("text").mapInArrow(hits, "sig bigint, seed bigint").distinct()
-            more = more.join(classes.select("sig", "rep", "side"), "sig").select("rep", "side", F.lit(self.votes).alias("need"), "seed")
-            seeds = seeds.unionByName(more)
-        return seeds.dropDuplicates(["rep", "seed"]) if blocks else seeds
-
-    @staticmethod
-    def _meet(rows: DataFrame, *key: str) -> DataFrame:
-        e = rows.where(F.col("side").bitwiseAND(2) > 0).select(*key, F.col("rep").alias("rep_e"), F.col("need").alias("ne"))
-        t = rows.where(F.col("side").bitwiseAND(1) > 0).select(*key, F.col("rep").alias("rep_t"), F.col("need").alias("nt"))
-        return e.join(t, list(key)).where("rep_e <> rep_t").select("rep_e", "rep_t", F.least("ne", "nt").alias("need"))
-
     def pairs(self) -> DataFrame:
         """Every pair of records: eval_id, train_id and the pair's counts."""
         found, members = self.run()

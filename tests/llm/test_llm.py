@@ -66,6 +66,19 @@ def test_overlap_against_brute_force(spark):
     assert rows(overlap.split_overlap(df), "record_id_a", "record_id_b") == brute_overlap(recs)
 
 
+def test_overlap_of_texts_quoted_very_often(spark):
+    """Runs that more than 64 pairs share: texts quoted by half, and near-copies that differ from each other."""
+    rng = random.Random(9)
+    draw = lambda k: " ".join(rng.choices([f"w{i}" for i in range(3000)], k=k))
+    base = draw(64).split(" ")
+    recs = [(0, "val", " ".join(base))]
+    recs += [(1 + i, "train", f"{draw(40)} {' '.join(base[:40])} {draw(40)}") for i in range(70)]
+    recs += [(100 + i, "train" if i % 2 else "test", " ".join(w if rng.random() > 0.04 else f"z{i}" for w in base)) for i in range(40)]
+    recs += [(200 + i, "train" if i % 2 else "test", f"{draw(50)} {' '.join(base[20:45])}") for i in range(40)]
+    df = spark.createDataFrame(recs, "record_id bigint, split string, text string")
+    assert rows(overlap.split_overlap(df), "record_id_a", "record_id_b") == brute_overlap(recs)
+
+
 def test_overlap_of_nothing(spark):
     assert overlap.split_overlap(spark.createDataFrame([], "record_id bigint, split string, text string")).count() == 0
 
