@@ -1,9 +1,9 @@
 """Template residue, filler text, error pages and script notices.
 
 Plan. One Arrow pass cuts each document into segments (lines and sentences), gives trusted labels to segments that show residue beyond doubt,
-and a 64-bit SimHash and the set of its words to every other segment, numbers masked. Then labels of whole-segment residue spread: segments meet labelled
-ones in four SimHash tables of 16 bits (two fingerprints that differ in three bits at most always meet), are verified by Hamming distance and by the share
-of common words, and become labelled themselves, until no connected segment is left. Only the labelled side of a round is broadcast, after its rows are counted.
+and a 64-bit SimHash and the set of its words to every other segment, numbers masked. Then labels of whole-segment residue spread: of the n words of a labelled segment any
+n - 0.8 n + 1 hold one that stands in each segment of that likeness, so segments meet labelled ones in these words, the rarest ones (no pair is lost), are verified by
+Hamming distance and by the share of common words, and become labelled themselves, until no connected segment is left. Only the labelled side of a round is broadcast, after its rows are counted.
 Placeholders and messages inside real sentences are trusted labels too but don't spread: the sentence around them is ordinary.
 """
 
@@ -183,10 +183,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(pa.array(keep))
 
 
-def _tables(df: DataFrame) -> DataFrame:
-    """A row for each of the four tables, with its number and 16 bits."""
-    block = [F.struct(F.lit(t).alias("table"), F.shiftrightunsigned("simhash", 16 * t).bitwiseAND(0xFFFF).cast("int").alias("bits")) for t in range(4)]
-    return df.withColumn("t", F.explode(F.array(*block))).select("*", "t.table", "t.bits").drop("t")
+def _prefix(frontier: DataFrame, often: DataFrame, similarity: float) -> DataFrame:
+    """word, s, w, l: for each labelled segment its rarest words, of which every segment as alike as `similarity` has one."""
+    each = frontier.select("segment", F.explode("words").alias("word")).join(often, "word", "left").groupBy("segment").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("a"))
+    # a millionth less, lest rounding shorten a prefix
+    most = F.size("a") - F.ceil(F.size("a") * F.lit(similarity) - 1e-6).cast("int") + 1
+    first = each.select("segment", F.explode(F.slice("a", 1, F.least(F.size("a"), most))).alias("x")).select("segment", "x.word")
+    return first.join(frontier.select("segment", F.col("simhash").alias("s"), F.col("words").alias("w"), F.col("label").alias("l")), "segment").drop("segment")
 
 
 def residue(documents: DataFrame, similarity: float = 0.8, distance: int = 16) -> DataFrame:
@@ -201,11 +204,13 @@ def residue(documents: DataFrame, similarity: float = 0.8, distance: int = 16) -
     rest = seg.where("label = 0")
     known = seg.where("whole").groupBy("segment").agg(F.first("simhash").alias("simhash"), F.first("words").alias("words"), F.min("label").alias("label"))
     frontier = known = stage(known, "residue-known")
+    once = stage(rest.groupBy("segment").agg(F.first("simhash").alias("simhash"), F.first("words").alias("words")), "residue-once")
+    often = stage(once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "residue-words")
     while True:
-        near = _tables(frontier.select(F.col("simhash").alias("s"), F.col("words").alias("w"), F.col("label").alias("l"), F.col("simhash")))
-        near = near.select("table", "bits", "s", "w", "l")
-        hit = _tables(rest).join(checked_broadcast(near), ["table", "bits"])
-        hit = hit.where((F.bit_count(F.col("simhash").bitwiseXOR(F.col("s"))) <= distance) & (F.size(F.array_intersect("words", "w")) >= similarity * F.size(F.array_union("words", "w"))))
+        near = stage(_prefix(frontier, often, similarity), "residue-near")
+        hit = once.select("*", F.explode("words").alias("word")).join(checked_broadcast(near), "word")
+        alike = (F.size("words") >= similarity * F.size("w") - 1e-6) & (F.size("w") >= similarity * F.size("words") - 1e-6)
+        hit = hit.where(alike & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("s"))) <= distance)).where(F.size(F.array_intersect("words", "w")) >= similarity * F.size(F.array_union("words", "w")))
         fresh = hit.groupBy("segment").agg(F.first("simhash").alias("simhash"), F.first("words").alias("words"), F.min("l").alias("label"))
         fresh = stage(fresh.join(known.select("segment"), "segment", "left_anti"), "residue-fresh")
         if fresh.isEmpty():

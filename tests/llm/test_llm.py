@@ -213,3 +213,23 @@ def test_residue(spark):
     assert [i for i in got if i < 200] == [100 + i for i in range(len(bad))]
     assert {300, 301} <= set(got)  # the first by its likeness to the second
     assert residue.without_residue(df).count() == df.count() - len(got)
+
+
+def test_residue_spreads_to_all_alike_segments(spark):
+    """Against all pairs: variants of a message in which one word of its form is another, so that only their likeness tells them."""
+    texts = [first := "upstream server sent no ok to us so we go up by it as is"]
+    for i in range(60):
+        w = first.split(" ")
+        w[i % 4] = f"q{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        texts.append(" ".join(w))
+    w = textkernel.Words(texts, digits_alike=True)
+    sim = residue.simhash(w.hash, w.rec, w.n)
+    sets = [set(w.hash[a:b].tolist()) for a, b in zip(w.first[:-1], w.first[1:])]
+    want, todo = {0}, [0]
+    while todo:
+        i = todo.pop()
+        more = [j for j in range(len(texts)) if j not in want and int(sim[i] ^ sim[j]).bit_count() <= 16 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        want |= set(more)
+        todo += more
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len(want) > 50 and rows(residue.residue(df), "doc_id") == [(i,) for i in sorted(want)]
