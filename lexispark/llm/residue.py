@@ -9,10 +9,12 @@ Placeholders and messages inside real sentences are trusted labels too but don't
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _parser
 
 import ahocorasick
 import numpy as np
@@ -29,17 +31,16 @@ CUT = re.compile(r"[\n\r\t]+|(?<=[.!?;])\s+")
 
 # Forms that unfilled fields and unresolved values take, in the text as it stands.
 NAME = r"[^\W\d][\w.]*"
-PLACEHOLDERS = "|".join(
-    (
-        r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"\$\{[^{}\n]{1,60}\}", rf"\{{(?:{NAME}|\d{{1,2}})\}}",
-        r"<%=?[^<>\n]{1,60}%>", rf"<<\s*{NAME}\s*>>", rf"\[\[\s*{NAME}\s*\]\]", rf"&lt;\s*{NAME}\s*&gt;",
-        r"[<\[(](?:insert|enter|fill in|your|εισάγετε|εισαγετε|συμπληρώστε|συμπληρωστε|συμπληρώνεται:?|συμπληρωνεται:?)\s[^<>\[\]()\n]{1,60}[>\])]",
-        rf"@@{NAME}@@", rf"%{NAME}%", rf"\${NAME}\$", rf"#{NAME}#", r"(?<!\w)__[^\W_][\w.]*?__(?!\w)",
-        r"«(?:[^\W\d]+_[\w.]+|(?-i:[Α-ΩΆΈΉΊΌΎΏA-Z]{2,}(?:[_ ][Α-ΩΆΈΉΊΌΎΏA-Z]+)*)|ηλικία|κλινική|διάγνωση|θεράπων|όνομα|δόση|age|ward|attending|med\.list)»",
-        r"\bXX+/XX+/XX+\b", r"#(?:REF!|VALUE!|N/A|Ν/Δ|NAME\?|DIV/0!|NUM!|NULL!)", r"\bNaN\b", r"\bundefined\b", r"\[object \w+\]", r"\b(?:TODO|TBD|FIXME)\b",
-        r"\bnull\b(?!\s+(?:result|hypothesis|finding|reading|value of|mutation|allele|cell|line|point))", r"(?<![%\w])%[sd]\b", r"_{6,}", r"\.{6,}", r"\?{5,}",
-    )
+PLACEHOLDER_FORMS = (
+    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"\$\{[^{}\n]{1,60}\}", rf"\{{(?:{NAME}|\d{{1,2}})\}}",
+    r"<%=?[^<>\n]{1,60}%>", rf"<<\s*{NAME}\s*>>", rf"\[\[\s*{NAME}\s*\]\]", rf"&lt;\s*{NAME}\s*&gt;",
+    r"[<\[(](?:insert|enter|fill in|your|εισάγετε|εισαγετε|συμπληρώστε|συμπληρωστε|συμπληρώνεται:?|συμπληρωνεται:?)\s[^<>\[\]()\n]{1,60}[>\])]",
+    rf"@@{NAME}@@", rf"%{NAME}%", rf"\${NAME}\$", rf"#{NAME}#", r"(?<!\w)__[^\W_][\w.]*?__(?!\w)",
+    r"«(?:[^\W\d]+_[\w.]+|(?-i:[Α-ΩΆΈΉΊΌΎΏA-Z]{2,}(?:[_ ][Α-ΩΆΈΉΊΌΎΏA-Z]+)*)|ηλικία|κλινική|διάγνωση|θεράπων|όνομα|δόση|age|ward|attending|med\.list)»",
+    r"\bXX+/XX+/XX+\b", r"#(?:REF!|VALUE!|N/A|Ν/Δ|NAME\?|DIV/0!|NUM!|NULL!)", r"\bNaN\b", r"\bundefined\b", r"\[object \w+\]", r"\b(?:TODO|TBD|FIXME)\b",
+    r"\bnull\b(?!\s+(?:result|hypothesis|finding|reading|value of|mutation|allele|cell|line|point))", r"(?<![%\w])%[sd]\b", r"_{6,}", r"\.{6,}", r"\?{5,}",
 )
+PLACEHOLDERS = "|".join(PLACEHOLDER_FORMS)
 # Messages and notices, in folded text (lower case, no accents).
 MESSAGES = {
     ERROR: (
@@ -61,32 +62,70 @@ MESSAGES = {
     ),
 }
 LATIN_FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat culpa officia deserunt mollit anim laborum".split())
-# Parts of which every form above has one, in lower case; a text without any of them needs no closer look.
-TRIGGERS = (
-    "{{ {% ${ <% << [[ &lt; @@ __ xx/ #ref #value #n/ #ν/ #name #div #num #null undefined [object todo tbd fixme null %s %d ...... ????? error http exception traceback σφάλμα σφαλμα forbidden gateway not_found unavailable "
-    "located upstream gone load denied expired log_in retry συνεδρία_σας συνεδρια_σας βάση_δεδ βαση_δεδ συνδεθείτε συνδεθειτε ξανά_αργ ξανα_αργ σελίδα σελιδα φόρτωση φορτωση trace_id reference_no στην_αρχική στην_αρχικη to_home the_home oops ουπς ωχ! στραβ went_wrong ψάχνετε ψαχνετε what_you αίτημα αιτημα request_was ίχνος: ιχνος: |_help |_βοήθ |_βοηθ διακομιστ υπηρεσία_είναι υπηρεσια_ειναι "
-    "script σενάρι σεναρι σεναρί browser περιεχόμενο περιεχομενο content φυλλομετρητ περιηγητ δέσμη δεσμη lorem ipsum dolor magna velit ullamco fugiat εδώ εδω υπόδειγμα υποδειγμα dummy goes_here body_copy heading ενότητας ενοτητας placeholder "
-    "sample_text sample_para replace αντικαταστήστε αντικαταστηστε εισάγετε εισαγετε συμπληρώ συμπληρω [insert <insert (insert [enter <enter fill_in [your <your"
-).split()
-TRIGGERS = [t if t == "__" else t.replace("_", " ") for t in TRIGGERS]
+class _Fold(dict):
+    """What each character is in folded text."""
+
+    def __missing__(self, c: int) -> str:
+        d = unicodedata.normalize("NFD", chr(c))
+        self[c] = out = "".join(x for x in d if unicodedata.category(x) != "Mn").replace("ς", "σ")
+        return out
+
+
+_FOLD = _Fold()
 
 
 def folded(s: str) -> str:
     """Lower case, no accents, one form of sigma."""
-    s = unicodedata.normalize("NFD", s.lower())
-    return "".join(c for c in s if unicodedata.category(c) != "Mn").replace("ς", "σ")
+    return s.lower().translate(_FOLD)
+
+
+def required(pattern: list) -> set[str]:
+    """Literals of which every match of a parsed pattern holds one; none if only single characters are certain."""
+    best: set[str] = set()
+    run = ""
+
+    def offer(x: set[str]) -> None:
+        nonlocal best
+        if x and min(map(len, x)) > max(1, min(map(len, best), default=0)):
+            best = x
+
+    for op, arg in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg)
+            continue
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        tail = ""
+        if name == "MAX_REPEAT" and arg[0] and all(str(o) == "LITERAL" for o, _ in arg[2]):
+            tail = "".join(chr(c) for _, c in arg[2]) * arg[0]
+            run += tail
+        offer({run})
+        run = tail
+        if name == "SUBPATTERN":
+            offer(required(arg[3]))
+        elif name == "MAX_REPEAT" and arg[0]:
+            offer(required(arg[2]))
+        elif name == "BRANCH":
+            each = [required(x) for x in arg[1]]
+            offer(set().union(*each) if all(each) else set())
+    offer({run})
+    return best
 
 
 @lru_cache(maxsize=1)
 def _rules() -> tuple[re.Pattern, dict[int, re.Pattern], ahocorasick.Automaton]:
     a = ahocorasick.Automaton()
-    for t in TRIGGERS:
-        a.add_word(t, t)
+    for p in (*PLACEHOLDER_FORMS, *itertools.chain(*MESSAGES.values())):
+        for t in required(list(_parser.parse(p))):
+            a.add_word(folded(t), t)
     a.make_automaton()
     return re.compile(PLACEHOLDERS, re.IGNORECASE), {k: re.compile("|".join(v)) for k, v in MESSAGES.items()}, a
 
 
-LONE = re.compile(r"[{<%$#«][^\W\d]|\{\d|NaN")
+#: The forms that have only single characters for certain.
+LONE = re.compile(r"[{<%$#«][^\W\d]|\{\d")
+LATIN = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(LATIN_FILLER))})(?![^\W\d_])")
 
 
 #: Least share of a segment that a message has to take up for the segment's label to spread.
@@ -112,7 +151,8 @@ def label(segment: str) -> tuple[int, bool]:
 
 def suspicious(text: str) -> bool:
     """Whether any trusted form may be in the text."""
-    return next(_rules()[2].iter(text.lower()), None) is not None or LONE.search(text) is not None
+    f = folded(text)
+    return next(_rules()[2].iter(f), None) is not None or LONE.search(text) is not None or next(itertools.islice(LATIN.finditer(f), 2, None), None) is not None
 
 
 def repeated(h: np.ndarray, rec: np.ndarray) -> np.ndarray:

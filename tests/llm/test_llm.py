@@ -233,3 +233,34 @@ def test_residue_spreads_to_all_alike_segments(spark):
         todo += more
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert len(want) > 50 and rows(residue.residue(df), "doc_id") == [(i,) for i in sorted(want)]
+
+
+def test_no_form_of_residue_is_filtered_out():
+    """A match of every form and of every alternative in it, and the wordings that once were, pass the filter."""
+
+    def matches(parsed):
+        out = [""]
+        for op, arg in parsed:
+            match str(op):
+                case "LITERAL":
+                    more = [chr(arg)]
+                case "SUBPATTERN":
+                    more = matches(arg[3])
+                case "BRANCH":
+                    more = [m for x in arg[1] for m in matches(x)]
+                case "MAX_REPEAT" | "MIN_REPEAT":
+                    more = [m * max(arg[0], n) for m in matches(arg[2]) for n in {arg[0], min(1, arg[1])}]
+                case "IN":
+                    k, v = arg[0]
+                    more = {"NEGATE": ["a"], "CATEGORY": ["1" if "DIGIT" in str(v) else " " if "SPACE" in str(v) else "a"], "RANGE": [chr(v[0]) if str(k) == "RANGE" else ""]}.get(str(k)) or [chr(c) for o, c in arg if str(o) == "LITERAL"]
+                case _:
+                    more = [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    for form in (*residue.PLACEHOLDER_FORMS, *itertools.chain(*residue.MESSAGES.values())):
+        some = matches(residue._parser.parse(form))
+        assert some and [m for m in some if not residue.suspicious(m)] == [], form
+    lost = ["The requested page could not be found.", "401 - Unauthorized", "429 - Too many requests", "(enter name)", "(your name here)", "It does not work properly without cookies", "Ο ιστότοπος δεν λειτουργεί χωρίς ενεργά cookies", "sit amet consectetur adipiscing elit", "sed ut et"]
+    assert [t for t in lost if not (residue.label(t)[0] and residue.suspicious(t))] == []
+    assert residue.folded(unicodedata.normalize("NFD", "Η ΣΕΛΊΔΑ ς")) == "η σελιδα σ"
