@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -146,22 +147,71 @@ def fuzzy_ratio(needle: str, text: str) -> float:
     return 100.0 * (1 - min(row) / len(needle))
 
 
+def fewest_edits(needle: str, text: str) -> int:
+    """Edits between the needle and the stretch of the text that is most like it, bit-parallel (Myers)."""
+    m = len(needle)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score, best = full, 0, m, m
+    for c in text:
+        eq = masks.get(c, 0)
+        xv, xh = eq | mv, (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | (~(xh | pv) & full), pv & xh
+        score += ((ph & top) > 0) - ((mh & top) > 0)
+        best = min(best, score)
+        ph, mh = ph << 1 & full, mh << 1 & full
+        pv, mv = mh | (~(xv | ph) & full), ph & xv
+    return best
+
+
+def pieces(d: str, threshold: float) -> tuple[int, list[tuple[int, str]]]:
+    """Most edits k at which the ratio is still reached, and k + 1 pieces with their places, one of which such edits leave unchanged."""
+    m = len(d)
+    k = max(e for e in range(m + 1) if e == 0 or 100.0 * (1 - e / m) >= threshold)
+    cut = [i * m // (k + 1) for i in range(k + 2)]
+    return k, [(a, d[a:b]) for a, b in zip(cut, cut[1:])]
+
+
 def fuzzy_fallback(texts: DataFrame, descriptions: DataFrame, threshold: float = 85.0, key: str = "record_id", text: str = "text", most: int = 10_000) -> DataFrame:
     """key, code: codes whose description (code, description) stands in the text up to a share of differing characters.
 
-    Only descriptions of which a token also stands in the text are compared. A text of any length is compared whole.
+    An automaton finds the places where a piece of a description stands unchanged; only there is the distance computed, and no match is lost. A text of any length is compared whole.
     """
     rows = descriptions.select("code", normalize_text(F.col("description"), fold_sigma=True).alias("d")).where("d <> ''").distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} descriptions")
-    shared = texts.sparkSession.sparkContext.broadcast([(r["code"], r["d"], set(r["d"].split())) for r in rows])
+    shared = texts.sparkSession.sparkContext.broadcast([(r["code"], r["d"]) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, edits, always = ahocorasick.Automaton(), [], set()
+        places: dict[str, list[tuple[int, int]]] = {}
+        for i, (code, d) in enumerate(shared.value):
+            k, parts = pieces(d, threshold)
+            edits.append(k)
+            if k >= len(d):
+                always.add(code)
+                continue
+            for at, piece in parts:
+                places.setdefault(piece, []).append((i, at))
+        for piece, where in places.items():
+            automaton.add_word(piece, (len(piece), where))
+        automaton.make_automaton()
         for b in batches:
             out = []
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = set(s.split())
-                out += [(k, c) for c, d, w in shared.value if w & words and (d in s or fuzzy_ratio(d, s) >= threshold)]
+                found, seen = set(always), set()
+                for end, (n, where) in automaton.iter(s) if places else ():
+                    for i, at in where:
+                        code, d = shared.value[i]
+                        begin = end + 1 - n - at
+                        if code in found or (i, begin) in seen:
+                            continue
+                        seen.add((i, begin))
+                        if fewest_edits(d, s[max(0, begin - edits[i]) : max(0, begin + len(d) + edits[i])]) <= edits[i]:
+                            found.add(code)
+                out += [(k, c) for c in sorted(found)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([c for _, c in out])], names=["key", "code"])
 

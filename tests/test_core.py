@@ -191,3 +191,21 @@ def test_queries_have_the_columns_of_their_sql():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert "dict_group_f1" in e.queries()
+
+
+def test_fuzzy_fallback_against_all_comparisons(spark):
+    rng = random.Random(5)
+    descriptions = [("A1", "αρρυθμια"), ("A2", "στενωση αορτης"), ("A3", "χρονια νεφρικη νοσος"), ("A4", "ab"), ("A5", "βρογχικο ασθμα")]
+    texts = ["ασθενης με αρρυθμηα σημερα", "στενοση αορτις", "", None, "βρογχικοασθμα"]
+    for _ in range(150):
+        t = list("xx " + rng.choice(descriptions)[1] + " yy")
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice(("", "q", "qa"))
+        texts.append("".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "record_id bigint, text string")
+    got = {tuple(r) for r in dictionary.fuzzy_fallback(df, spark.createDataFrame(descriptions, "code string, description string")).collect()}
+    plain = dictionary.normalize_text
+    norm = {r[0]: r[1] for r in df.select("record_id", plain(F.col("text"), fold_sigma=True)).collect() if r[1]}
+    assert got == {(i, c) for i, s in norm.items() for c, d in descriptions if dictionary.fuzzy_ratio(d.replace("ς", "σ"), s) >= 85}
+    assert {(0, "A1"), (1, "A2")} <= got  # no word of these is spelt alike
