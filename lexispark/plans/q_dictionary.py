@@ -168,6 +168,6 @@ def description_lookup(s, d):
 @C.add("fuzzy_fallback")
 def fuzzy_fallback(s, d):
     c = table(s, d, "code_lookup").select("code", F.col("greek_description").alias("description"))
-    # only mentions are short enough for an edit distance at every place; they are whole texts here
-    m = V.mentions(s, d).select(F.col("mention_id").alias("record_id"), F.col("mention").alias("text"))
-    return D.fuzzy_fallback(m, c)
+    # whole texts, less the codes that the dictionary already finds
+    done = coded(s, d).select("record_id", F.explode("codes").alias("code"))
+    return D.fuzzy_fallback(V.records(s, d), c).join(done, ["record_id", "code"], "left_anti")

@@ -209,3 +209,15 @@ def test_fuzzy_fallback_against_all_comparisons(spark):
     norm = {r[0]: r[1] for r in df.select("record_id", plain(F.col("text"), fold_sigma=True)).collect() if r[1]}
     assert got == {(i, c) for i, s in norm.items() for c, d in descriptions if dictionary.fuzzy_ratio(d.replace("ς", "σ"), s) >= 85}
     assert {(0, "A1"), (1, "A2")} <= got  # no word of these is spelt alike
+
+
+def test_fuzzy_fallback_query_reads_whole_texts(spark, tmp_path):
+    from lexispark.plans import q_dictionary
+
+    long = "ο ασθενης προσηλθε με χρονεια νεφρηκη νοσο και στενοση αορτης"
+    schema = "record_id bigint, patient_id bigint, split string, source string, text string, document_level_annotations array<array<string>>, labels_flat array<string>"
+    spark.createDataFrame([(1, 1, "train", "x", long, [], []), (2, 1, "train", "x", "στενωση αορτης", [], [])], schema).write.parquet(f"{tmp_path}/records.parquet")
+    spark.createDataFrame([("A2", "στένωση αορτής"), ("A3", "χρόνια νεφρική νόσο")], "code string, greek_description string").write.parquet(f"{tmp_path}/code_lookup.parquet")
+    spark.createDataFrame([("στένωση αορτής", "A2")], "term string, codes_pipe_sep string").write.parquet(f"{tmp_path}/term_dictionary.parquet")
+    spark.createDataFrame([(7, 1, None)], "mention_id bigint, record_id bigint, mention string").write.parquet(f"{tmp_path}/mentions.parquet")
+    assert rows(q_dictionary.fuzzy_fallback(spark, str(tmp_path)), "record_id", "code") == [(1, "A2"), (1, "A3")]
