@@ -1,73 +1,24 @@
 """Same or near-same records on both sides of a split: a full-text index of evaluation shards, through which training records stream.
 
-Plan. (1) One Arrow pass turns each text into word hashes, a signature and its number of distinct five-word runs. Texts of the same
-words become one class, so a group of exact copies is one row from here on. (2) A pair has to share `need` = share of the runs of its
-smaller text. Runs are counted by side; of the smaller text only those that also stand on the other side can be in common, and of n such runs any
-n - need + k hold k of the common ones. So each text sends its rarest n - need + k runs, most texts none, and whatever holds k of them on the other
-side is a candidate: no pair is lost, and runs that very many texts hold are only sent where the text has hardly any others. (3) Each
-shard builds an FM-index of its evaluation texts and streams its training texts through backward search; the
-runs found are located, merged into maximal matches along diagonals, and counted exactly.
+Plan. (1) `routing` finds, without loss and without a cap, which texts of the two sides may share enough of their five-word runs; equal texts of one side are one class.
+(2) Evaluation classes are dealt to shards, and training classes to the shards that hold a partner of theirs. (3) Each shard builds an FM-index of its
+evaluation texts and streams its training texts through backward search; the runs found are located, merged into maximal matches along
+diagonals, and counted exactly. Also classes of the same words go this way. Reports count on classes; only the list of pairs names every record.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.staging import checked_broadcast, stage
 from .fmindex import FMIndex
-from .textkernel import MIX1, Words, chunks, mix, windows
-
-RUN = 5
-#: Bits of a run's hash that are shuffled; equal ones of different runs only make a candidate more.
-SEED_BITS = np.uint64((1 << 40) - 1)
-#: Most bits of the filter that goes to the executors whole; fuller ones let more rows pass, none is lost.
-FILTER_BITS = 30
-SLICE = 1 << 20
-SKETCH = "record_id bigint, side int, sig bigint, runs int"
-
-
-def signature(words: Words) -> np.ndarray:
-    """A 64-bit hash of each text's word sequence."""
-    with np.errstate(over="ignore"):
-        sig = np.zeros(words.n, np.uint64)
-        if len(words.hash):
-            some = np.flatnonzero(np.diff(words.first))
-            within = (np.arange(len(words.hash)) - words.first[words.rec]).astype(np.uint64)
-            sig[some] = np.add.reduceat(mix(words.hash + within * MIX1), words.first[some])
-        return mix(sig + np.diff(words.first).astype(np.uint64))
-
-
-def _unique(h: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each value of each text once, by text."""
-    order = np.lexsort((h, rec))
-    h, rec = h[order], rec[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (rec[1:] != rec[:-1])
-    return h[new], rec[new]
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Words]]:
-    for b in batches:
-        ids, sides, texts = (b.column(i).to_pylist() for i in range(3))
-        for i, j in chunks(texts):
-            yield np.array(ids[i:j], np.int64), np.array(sides[i:j], np.int32), Words(texts[i:j])
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text that has runs: signature of its words, number of distinct runs."""
-    for ids, sides, words in _read(batches):
-        h, rec, _ = windows(words, RUN)
-        runs = _distinct(h, rec, words.n).astype(np.int32)
-        out = [pa.array(ids), pa.array(sides), pa.array(signature(words).view(np.int64)), pa.array(runs)]
-        yield pa.RecordBatch.from_arrays(out, names=["record_id", "side", "sig", "runs"]).filter(pa.array(runs > 0))
+from .routing import RUN, distinct, routes
+from .textkernel import Words, chunks, windows
 
 
 def match_shard(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -130,11 +81,7 @@ def _starts(words: Words) -> np.ndarray:
 
 
 def _distinct(h: np.ndarray, rec: np.ndarray, n: int) -> np.ndarray:
-    order = np.lexsort((h, rec))
-    h, rec = h[order], rec[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (rec[1:] != rec[:-1])
-    return np.bincount(rec[new], minlength=n)
+    return np.bincount(distinct(h, rec)[1], minlength=n)
 
 
 class SplitOverlap:
@@ -147,86 +94,25 @@ class SplitOverlap:
     shard: evaluation classes of one index. stream: training classes that one task takes through it.
     """
 
-    def __init__(self, records: DataFrame, train: str = "train", share: float = 0.5, hits: int = 5, shard: int = 400, stream: int = 2000) -> None:
+    def __init__(self, records: DataFrame, train: str = "train", share: float = 0.5, hits: int = 8, shard: int = 400, stream: int = 2000) -> None:
         self.share, self.hits, self.shard, self.stream = share, hits, shard, stream
         self.texts = records.select("record_id", F.when(F.col("split") == train, 1).when(F.col("split").isNotNull(), 2).alias("side"), "text").where("record_id is not null and side is not null and text <> ''")
 
-    def sketches(self) -> DataFrame:
-        return self.texts.mapInArrow(_sketches, SKETCH)
-
-    def _runs(self, others: DataFrame, only: Broadcast | None = None) -> DataFrame:
-        """seed, rep, side, runs: the runs of each class. others: record_id, sig, as: side of the texts whose own isn't that of their class, 0 for further copies.
-
-        only: a bit for each value that a seed may have, to leave out other seeds.
-        """
-
-        def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, sides, words in _read(batches):
-                h, rec, _ = windows(words, RUN)
-                count = _distinct(h, rec, words.n).astype(np.int32)
-                h = h & SEED_BITS
-                if only is not None:
-                    at = h & np.uint64(len(only.value) * 8 - 1)
-                    keep = (only.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    h, rec = h[keep], rec[keep]
-                h, rec = _unique(h, rec)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rec, np.arange(words.n + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sides), pa.array(signature(words).view(np.int64)), pa.array(count), lists], names=["record_id", "side", "sig", "runs", "seeds"])
-
-        rows = self.texts.mapInArrow(seeds, "record_id bigint, side int, sig bigint, runs int, seeds array<bigint>").where("size(seeds) > 0")
-        rows = rows.join(checked_broadcast(others), ["record_id", "sig"], "left").withColumn("side", F.coalesce("as", "side")).where("side > 0")
-        return rows.select(F.explode("seeds").alias("seed"), F.col("record_id").alias("rep"), "side", "runs")
-
-    def _candidates(self, classes: DataFrame, members: DataFrame) -> DataFrame:
-        """rep_e, rep_t of every two classes that may have the share of runs in common."""
-        others = members.where("rep <> record_id or sides = 3").groupBy("record_id", "sig").agg(F.max(F.when(F.col("rep") == F.col("record_id"), F.col("sides")).otherwise(0)).alias("as"))
-        others = stage(others, "overlap-others")
-        w = W.partitionBy("seed")
-        is_t, is_e = F.col("side").bitwiseAND(1), F.shiftright("side", 1)
-        shared = self._runs(others).select("seed", "rep", "side", F.sum(is_t).over(w).cast("int").alias("t"), F.sum(is_e).over(w).cast("int").alias("e")).where("t > 0 and e > 0")
-        # one whole number for each run: the side of the smaller text, the texts of the other side that hold the run, its seed
-        packed = lambda role, f: F.lit((role - 1) << 62).bitwiseOR(F.shiftleft(F.least(f, F.lit((1 << 22) - 1)).cast("bigint"), 40)).bitwiseOR(F.col("seed"))
-        mine = F.when(F.col("side") == 1, F.array(packed(1, F.col("e")))).when(F.col("side") == 2, F.array(packed(2, F.col("t")))).otherwise(F.array(packed(1, F.col("e")), packed(2, F.col("t"))))
-        own = shared.select("rep", F.explode(mine).alias("x")).groupBy("rep").agg(F.collect_list("x").alias("a")).join(classes.select("rep", "side", "runs"), "rep")
-        own = own.withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(self.share) * F.col("runs")).cast("int"))).where("size(a) >= need").withColumn("k", F.least(F.lit(self.hits), "need"))
-        own = own.withColumn("role", F.explode(F.when(F.col("side") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("side"))))
-        own = own.withColumn("a", F.sort_array(F.array_distinct(F.when(F.col("side") == 3, F.filter("a", lambda x: F.shiftrightunsigned(x, 62) == F.col("role") - 1)).otherwise(F.col("a"))))).where("size(a) >= need")
-        first = F.slice("a", 1, F.least(F.size("a"), F.size("a") - F.col("need") + F.col("k")))
-        sent = own.select(F.col("rep").alias("small"), F.col("runs").alias("least"), "role", "k", F.explode(first).alias("x")).select(F.col("x").bitwiseAND(int(SEED_BITS)).alias("seed"), "small", "least", "role", "k")
-        sent = stage(sent, "overlap-sent")
-        held = self._runs(others, self._filter(sent)).select("seed", F.col("rep").alias("large"), F.col("side").alias("side_l"), "runs")
-        met = sent.join(held, "seed").where("small <> large and runs >= least and (side_l & (3 - role)) > 0")
-        pick = lambda role: F.when(F.col("role") == role, F.col("small")).otherwise(F.col("large"))
-        return met.select(pick(2).alias("rep_e"), pick(1).alias("rep_t"), "k").groupBy("rep_e", "rep_t").agg(F.count("*").alias("n"), F.min("k").alias("k")).where("n >= k").select("rep_e", "rep_t")
-
-    @staticmethod
-    def _filter(sent: DataFrame) -> Broadcast:
-        """A bit set for every seed sent, some eight bits for each up to 2 ** FILTER_BITS."""
-        bits = min(max(int(sent.count() * 8).bit_length(), 20), FILTER_BITS)
-
-        def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            part = np.zeros(SLICE, bool)
-            part[rows["at"].to_numpy() % SLICE] = True
-            return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(part, bitorder="little").tobytes()]})
-
-        at = sent.select(F.col("seed").bitwiseAND((1 << bits) - 1).alias("at")).distinct().withColumn("slice", F.shiftright("at", 20))
-        out = np.zeros((1 << bits) // 8, np.uint8)
-        for r in at.groupBy("slice").applyInPandas(fill, "slice bigint, bits binary").toLocalIterator():
-            out[r["slice"] * SLICE // 8 :][: SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
-        return sent.sparkSession.sparkContext.broadcast(out)
-
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """Matches between class representatives, and membership (record_id, side, rep)."""
-        sk = stage(self.sketches(), "overlap-sketch")
-        classes = sk.groupBy("sig").agg(F.min("record_id").alias("rep"), F.bit_or("side").alias("side"), F.first("runs").alias("runs"))
-        classes = stage(classes, "overlap-classes")
-        members = sk.select("record_id", "side", "sig").distinct().join(classes.select("sig", "rep", F.col("side").alias("sides")), "sig")
-        pairs = stage(self._candidates(classes, members), "overlap-routes")
-        members = members.select("record_id", "side", "rep")
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """Matches between class representatives, and membership (record_id, side, rep): a class is the texts of one side with the same words."""
+        pairs, texts = routes(self.texts, self.share, self.hits)
+        rep = texts.groupBy("sig", "side").agg(F.min("record_id").alias("rep"))
+        members = stage(texts.join(rep, ["sig", "side"]).select("flush", "number", "record_id", "side", "rep"), "overlap-members")
+        named = members.select("flush", "number", "side", "rep").distinct()
+        a, b = (named.toDF(f"flush_{x}", f"number_{x}", f"side_{x}", f"rep_{x}") for x in "ab")
+        pairs = pairs.join(a, ["flush_a", "number_a"]).join(b, ["flush_b", "number_b"])
+        pick = lambda side: F.when(F.col("side_a") == side, F.col("rep_a")).otherwise(F.col("rep_b"))
+        pairs = stage(pairs.select(pick(2).alias("rep_e"), pick(1).alias("rep_t")).distinct(), "overlap-routes")
+        members = members.select("record_id", "side", "rep").distinct()
 
         # texts of the routed classes: the ids are joined by broadcast only if they are few
         wanted = pairs.select(F.explode(F.array("rep_e", "rep_t")).alias("record_id")).distinct()
-        texts = stage(self.texts.select("record_id", "text").join(checked_broadcast(wanted), "record_id", "left_semi").dropDuplicates(["record_id"]), "overlap-texts")
+        texts = stage(self.texts.select("record_id", "side", "text").join(checked_broadcast(stage(wanted, "overlap-wanted")), "record_id", "left_semi").dropDuplicates(["record_id", "side"]), "overlap-texts")
         n = pairs.select("rep_e").distinct().count()
         k = max(1, -(-n // self.shard))
         pairs = pairs.withColumn("shard", F.pmod(F.xxhash64("rep_e"), F.lit(k)))
@@ -236,17 +122,14 @@ class SplitOverlap:
         parts = tr.groupBy("shard").agg(F.ceil(F.count("*") / self.stream).cast("int").alias("parts"))
         tr = tr.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))
         ev = ev.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        e = ev.join(texts, ev.rep == texts.record_id).select(F.col("shard").alias("shard_e"), F.col("part").cast("int").alias("part_e"), F.col("rep").alias("rep_e"), F.col("text").alias("text_e"))
-        t = tr.join(texts, tr.rep == texts.record_id).select("shard", F.col("part").cast("int").alias("part"), "rep", "text", "wanted")
+        e = ev.join(texts.where("side = 2"), ev.rep == texts.record_id).select(F.col("shard").alias("shard_e"), F.col("part").cast("int").alias("part_e"), F.col("rep").alias("rep_e"), F.col("text").alias("text_e"))
+        t = tr.join(texts.where("side = 1"), tr.rep == texts.record_id).select("shard", F.col("part").cast("int").alias("part"), "rep", "text", "wanted")
         found = e.groupBy("shard_e", "part_e").cogroup(t.groupBy("shard", "part")).applyInPandas(match_shard, "rep_e bigint, rep_t bigint, runs_e bigint, runs_t bigint, common bigint, matches bigint, longest bigint")
-        found = found.where(F.col("common") >= F.lit(self.share) * F.least("runs_e", "runs_t"))
-        same = classes.where("side = 3").select(F.col("rep").alias("rep_e"), F.col("rep").alias("rep_t"), *[F.col("runs").cast("bigint").alias(c) for c in ("runs_e", "runs_t", "common")], F.lit(1).cast("bigint").alias("matches"), F.lit(None).cast("bigint").alias("longest"))
-        return found.union(same), members
+        return stage(found.where(F.col("common") >= F.lit(self.share) * F.least("runs_e", "runs_t")), "overlap-found"), members
 
     def pairs(self) -> DataFrame:
         """Every pair of records: eval_id, train_id and the pair's counts."""
-        found, members = self.run()
-        found = stage(found, "overlap-found")
+        found, members = self.classes()
         t = members.where("side = 1").select(F.col("rep").alias("rep_t"), F.col("record_id").alias("train_id"))
         e = members.where("side = 2").select(F.col("rep").alias("rep_e"), F.col("record_id").alias("eval_id"))
         return found.join(e, "rep_e").join(t, "rep_t").where("eval_id <> train_id").select("eval_id", "train_id", "runs_e", "runs_t", "common", "matches", "longest").dropDuplicates(["eval_id", "train_id"])
@@ -259,10 +142,22 @@ def split_overlap(records: DataFrame, **params: float) -> DataFrame:
 
 
 def split_report(records: DataFrame, **params: float) -> DataFrame:
-    """For each evaluation split and source: its records, those that overlap with train, and the training records concerned."""
-    p = SplitOverlap(records, **params).pairs()
+    """For each evaluation split and source: its records, those that overlap with train, the training records and pairs concerned, the greatest share.
+
+    Counted on classes: members of a class are added up before they meet other classes, pairs of records are never listed. The split and source of a
+    record given more than once are the least ones.
+    """
+    found, members = SplitOverlap(records, **params).classes()
     meta = records.where("record_id is not null and split is not null").groupBy("record_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
     ev = meta.where("split <> 'train'")
-    hit = p.join(ev, p.eval_id == ev.record_id).groupBy("split", "source").agg(F.countDistinct("eval_id").alias("leaked"), F.countDistinct("train_id").alias("train_records"), F.count("*").alias("pairs"), F.max(F.col("common") / F.least("runs_e", "runs_t")).alias("most"))
-    total = ev.groupBy("split", "source").agg(F.count("*").alias("records"))
-    return total.join(hit, total.split.eqNullSafe(hit.split) & total.source.eqNullSafe(hit.source), "left").select(total.split, total.source, "records", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("leaked", "train_records", "pairs")], F.round("most", 4).alias("most"))
+    own = members.where("side = 2").join(ev, "record_id").groupBy(F.col("rep").alias("rep_e"), "split", "source").agg(F.count("*").alias("n_e"))
+    train = members.where("side = 1").groupBy(F.col("rep").alias("rep_t")).agg(F.count("*").alias("n_t"))
+    share = F.col("common") / F.least("runs_e", "runs_t")
+    parts = [
+        ev.groupBy("split", "source").agg(F.count("*").alias("records")),
+        found.groupBy("rep_e").agg(F.max(share).alias("share")).join(own, "rep_e").groupBy("split", "source").agg(F.sum("n_e").alias("leaked"), F.max("share").alias("most")),
+        found.select("rep_e", "rep_t").join(own, "rep_e").groupBy("split", "source", "rep_t").agg(F.sum("n_e").alias("n_e")).join(train, "rep_t").groupBy("split", "source").agg(F.sum("n_t").alias("train_records"), F.sum(F.col("n_e") * F.col("n_t")).alias("pairs")),
+    ]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "leaked", "train_records", "pairs")]
+    return rows.groupBy("split", "source").agg(*counts, F.round(F.max("most"), 4).alias("most"))

@@ -264,3 +264,46 @@ def test_no_form_of_residue_is_filtered_out():
     lost = ["The requested page could not be found.", "401 - Unauthorized", "429 - Too many requests", "(enter name)", "(your name here)", "It does not work properly without cookies", "Ο ιστότοπος δεν λειτουργεί χωρίς ενεργά cookies", "sit amet consectetur adipiscing elit", "sed ut et"]
     assert [t for t in lost if not (residue.label(t)[0] and residue.suspicious(t))] == []
     assert residue.folded(unicodedata.normalize("NFD", "Η ΣΕΛΊΔΑ ς")) == "η σελιδα σ"
+
+
+@pytest.mark.parametrize(("buckets", "runs", "met", "hits"), [(1, 10**6, 10**6, 1), (5, 700, 10**6, 3), (7, 300, 40, 8)])
+def test_routing_over_many_flushes_and_buckets(monkeypatch, buckets, runs, met, hits):
+    """The packed steps run by hand with small flushes, many buckets and small blocks: every pair above the share is a candidate."""
+    import pandas as pd
+
+    from lexispark.llm import routing as r
+
+    monkeypatch.setattr(r, "FLUSH_RUNS", runs)
+    monkeypatch.setattr(r, "MET", met)
+    rng = random.Random(buckets)
+    draw = lambda k: rng.choices([f"w{i}" for i in range(60)], k=k)
+    base, recs = draw(40), []
+    for i in range(90):
+        text = draw(rng.choice((4, 6, 30))) + base[: rng.choice((0, 12, 25, 40))] + draw(rng.choice((0, 9, 30)))
+        recs.append((i, rng.choice((1, 2)), " ".join(text)))
+    recs += [(200 + i, s, t) for i, s, t in recs[::9]] + [(300 + i, 3 - s, t) for i, s, t in recs[::10]]
+    packed, flush, number = [], r._Flush(0, buckets), 0
+    for i in range(0, len(recs), 3):
+        part = recs[i : i + 3]
+        flush.add(np.array([x[0] for x in part]), np.array([x[1] for x in part]), textkernel.Words([x[2] for x in part]))
+        if flush.full:
+            packed += flush.rows()
+            number += 1
+            flush = r._Flush(number, buckets)
+    packed += flush.rows() if flush.seen else []
+    frame = r._frame(packed)
+    known = pd.concat([r._bucket((b,), g) for b, g in frame.groupby("bucket")])
+    told = known[known["kind"].isin((r.FREQUENCIES, r.TEXTS))]
+    chosen = pd.concat([r._settle(0.5, hits)((f,), g) for f, g in told.groupby("flush")])
+    met_rows = [r._meet((b,), known[(known["kind"] == r.POSTINGS) & (known["bucket"] == b)], chosen[chosen["bucket"] == b]) for b in range(buckets)]
+    every = pd.concat([*met_rows, chosen[chosen["bucket"] < 0]])
+    pairs = pd.concat([r._count((f,), g) for f, g in every.groupby("flush")])
+    ids = {}
+    texts = known[known["kind"] == r.TEXTS]
+    for b in r._texts([__import__("pyarrow").RecordBatch.from_pydict({"f": texts["flush"].tolist(), "d": texts["data"].tolist()})]):
+        for row in b.to_pylist():
+            ids.setdefault((row["flush"], row["number"]), []).append(row["record_id"])
+    got = {frozenset((x, y)) for p in pairs.itertuples() for x in ids[p.flush_a, p.number_a] for y in ids[p.flush_b, p.number_b]}
+    want = {frozenset(p) for p in brute_overlap([(i, "train" if s == 1 else "val", t) for i, s, t in recs])}
+    assert len(ids) < len(recs) and want <= got and len(want) > 100
+    assert hits < 8 or len(got) < 90 * 45
