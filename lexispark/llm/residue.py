@@ -31,19 +31,32 @@ CUT = re.compile(r"[\n\r\t]+|(?<=[.!?;])\s+")
 
 # Forms that unfilled fields and unresolved values take, in the text as it stands.
 NAME = r"[^\W\d][\w.]*"
+FIELD = "patient|full name|first name|last name|surname|name|date|time|age|sex|birth|address|phone|diagnosis|doctor|physician|ward|department|signature|hospital|insert|enter|όνομα|ονομα|ονοματεπώνυμο|επώνυμο|ημερομηνία|ημερομηνια|ώρα|ηλικία|ηλικια|φύλο|διεύθυνση|τηλέφωνο|διάγνωση|διαγνωση|ιατρός|ιατρος|κλινική|κλινικη|τμήμα|υπογραφή|νοσοκομείο"
 PLACEHOLDER_FORMS = (
     r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"\$\{[^{}\n]{1,60}\}", rf"\{{(?:{NAME}|\d{{1,2}})\}}",
     r"<%=?[^<>\n]{1,60}%>", rf"<<\s*{NAME}\s*>>", rf"\[\[\s*{NAME}\s*\]\]", rf"&lt;\s*{NAME}\s*&gt;",
     r"[<\[(](?:insert|enter|fill in|your|εισάγετε|εισαγετε|συμπληρώστε|συμπληρωστε|συμπληρώνεται:?|συμπληρωνεται:?)\s[^<>\[\]()\n]{1,60}[>\])]",
-    rf"@@{NAME}@@", rf"%{NAME}%", rf"\${NAME}\$", rf"#{NAME}#", r"(?<!\w)__[^\W_][\w.]*?__(?!\w)",
+    r"[<\[(](?:to be (?:completed|filled in|added|confirmed)|please (?:fill in|complete)|προς συμπλήρωση|να συμπληρωθεί)[^<>\[\]()\n]{0,40}[>\])]",
+    r"\{\{[#/^>!]?[^{}\n]{1,60}\}\}", rf"%%{NAME}%%", rf"@@{NAME}@@", rf"%{NAME}%", rf"\${NAME}\$", rf"#{NAME}#", r"(?<!\w)__[^\W_][\w.]*?__(?!\w)",
     r"«(?:[^\W\d]+_[\w.]+|(?-i:[Α-ΩΆΈΉΊΌΎΏA-Z]{2,}(?:[_ ][Α-ΩΆΈΉΊΌΎΏA-Z]+)*)|ηλικία|κλινική|διάγνωση|θεράπων|όνομα|δόση|age|ward|attending|med\.list)»",
     r"\bXX+/XX+/XX+\b", r"#(?:REF!|VALUE!|N/A|Ν/Δ|NAME\?|DIV/0!|NUM!|NULL!)", r"\bNaN\b", r"\bundefined\b", r"\[object \w+\]", r"\b(?:TODO|TBD|FIXME)\b",
     r"\bnull\b(?!\s+(?:result|hypothesis|finding|reading|value of|mutation|allele|cell|line|point))", r"(?<![%\w])%[sd]\b", r"_{6,}", r"\.{6,}", r"\?{5,}",
 )
-PLACEHOLDERS = "|".join(PLACEHOLDER_FORMS)
+#: Begins as LONE says, and its words are everywhere: no trigger of its own.
+FIELD_FORM = rf"[\[<](?:the\s|your\s|το\s|την?\s)?(?:{FIELD})(?:[ _](?:of\s)?{NAME}){{0,2}}[\]>]"
+PLACEHOLDERS = "|".join((*PLACEHOLDER_FORMS, FIELD_FORM))
 # Messages and notices, in folded text (lower case, no accents).
+# What a message is about and what it says of it: the two near each other at the beginning of a segment.
+THING = "page|site|website|server|database|service|session|login|connection|file|document|record|resource|request|report|application|program|gateway|content|operation|link|upload|download"
+STATE = "can ?not be found|could not be (?:found|located|opened|loaded|generated|completed|displayed|processed|reached|saved)|not found|does not exist|doesn t exist|no longer exists|not available|unavailable|timed out|timeout|time-out|has expired|access denied|not responding|failed to load|is offline|is down\\b|out of service|you (?:requested|are looking for|were looking for)|responded with"
+POLITE = "(?:we are |we re )?(?:sorry|oops|error|warning)[,:.! ]*(?:but )?"
 MESSAGES = {
     ERROR: (
+        rf"^(?:{POLITE})?(?:(?:the|this|that|your|a|an|our) )?(?:\w+ )?(?:{THING})\b(?! ?\d).{{0,30}}(?:{STATE})", r"^[45]\d\d (?:forbidden|not found|bad gateway|gateway time|internal server|service unavail|too many req|unauthori[sz]ed|bad request)", r"\b(?:can t|cannot|could not|couldn t|unable to) (?:find|load|open|display|reach|connect to) (?:the|this|that|your) (?:page|site|server|file|database|website|application)",
+        r"^(?:access (?:is |was )?denied|permission denied|connection (?:refused|reset|lost|to the server)|internal (?:server )?error|segmentation fault|stack trace|core dumped|bad request|failed to (?:load|open|connect|fetch|parse))", r"you (?:are not authori[sz]ed|do not have (?:permission|access)|don t have (?:permission|access)|have been logged out)",
+        r"(?:unexpected|internal|unknown) error (?:has )?(?:occur|happen)", r"\b[a-z.]*[a-z](?:exception|error)\b ?[:(]", r"core dumped", r"^error ?: ", r"please (?:log|sign) in again", r"contact (?:the|your) (?:system )?administrator",
+        r"^(?:η |ο |το |αυτη η )?(?:ιστο)?(?:σελιδα|υπηρεσια|εφαρμογη|διακομιστησ|αρχειο|εγγραφο|συνεδρια|περιεχομενο)\b(?! ?\d).{0,30}(?:δεν (?:βρεθηκε|υπαρχει|ειναι διαθεσιμ|ανταποκριν|μπορεσε|ηταν δυνατ)|μη διαθεσιμ|εληξε|εκτοσ λειτουργιασ)", r"(?:συνδεση|επικοινωνια|συνδεσησ) με τ\w+ (?:διακομιστη|βαση|εξυπηρετητη)", r"δεν εχετε (?:το )?(?:δικαιωμα|προσβαση|αδεια)",
+        r"(?:παρουσιαστηκε|προεκυψε|συνεβη) (?:\w+ )?(?:εσωτερικο |απροσμενο |αγνωστο )?σφαλμα", r"^σφαλμα (?:διακομιστη|συστηματοσ|συνδεσησ|εφαρμογησ|βασησ|φορτωσησ)", r"συνδεθειτε (?:ξανα|παλι)",
         r"^(?:http )?(?:error|http)\s*[45]\d\d\s*[-–—:]", r"^(?:http\s*)?[45]\d\d\s*[-–—:]\s*(?:forbidden|not found|bad gateway|gateway timeout|internal|service|too many|unauthori[sz]ed)",
         r"\b(?:fatal error|unhandled exception|uncaught exception)\s*:", r"^exception in thread\b", r"traceback \(most recent call", r"^(?:κωδικοσ )?σφαλμα(?:τοσ)?\s*\d{3}\s*[-–—:]",
         r"requested page could not be (?:located|found)", r"upstream server sent no", r"this page is gone", r"could not load this (?:record|page)", r"access to this resource is denied",
@@ -52,11 +65,13 @@ MESSAGES = {
         r"^(?:επιστροφη στην αρχικη|return to (?:the )?home)", r"(?:service|server|site) is (?:temporarily )?unavailable", r"ο διακομιστησ δεν αποκρινεται", r"^(?:oops|ουπσ|ωχ)\b", r"κατι πηγε στραβα", r"something went wrong", r"δεν βρηκαμε αυτο που", r"could not find what you", r"το αιτημα (?:σασ )?απορριφθηκε", r"request was (?:rejected|refused|denied)", r"^ιχνοσ: ?\d+", r"^(?:αρχικη|home) \| (?:help|βοηθεια)\b", r"υπηρεσια ειναι προσωρινα εκτοσ",
     ),
     SCRIPT: (
+        r"(?:allow|unblock|permit|turn on|switch on|enable) (?:java ?script|script)", r"(?:java ?script|scripts?|scripting) (?:must|needs? to|has to|have to) be", r"(?:java ?script|scripts?|scripting) (?:is|are) (?:blocked|switched off|off|not (?:enabled|supported|allowed))", r"χρειαζεται (?:την? )?(?:java ?script|σεναρια|scripts)", r"δεν (?:εκτελει|επιτρεπει) (?:σεναρια|scripts|java ?script)",
         r"(?:enable|enabling|turn on|activate) (?:java ?script|script(?:s|ing)?)\b", r"(?:requires?|needs) (?:java ?script|script(?:s|ing)?)\b", r"without (?:java ?script|scripts?) (?:enabled|turned on)", r"(?:does not|doesn t|won t) work properly without",
         r"δεν λειτουργει χωρισ ενεργα", r"(?:java ?script|scripts?) (?:and cookies )?(?:is|are|has been)? ?(?:turned off|disabled)", r"has scripts and cookies turned off", r"απαιτει(?:ται)? (?:java ?script|υποστηριξη δεσμησ|εκτελεση σεναριων|ενεργοποι)",
         r"ενεργοποιηστε (?:την? )?(?:υποστηριξη|java ?script|εκτελεση|τα? σεναρι|τα scripts)", r"δεν υποστηριζει (?:σεναρια|java ?script|scripts)", r"browser blocks it", r"το περιεχομενο δεν εμφανιζεται", r"content cannot be shown", r"(?:φυλλομετρητησ|περιηγητησ) (?:σασ )?(?:δεν|εχει|μπλοκαρει|αποκλειει)",
     ),
     FILLER: (
+        r"(?:insert|type|enter|write|add|put) (?:your |the |some )?(?:text|comments?|findings|notes?|content|description) here", r"^(?:your )?text here", r"(?:εισαγετε|πληκτρολογηστε|προσθεστε|γραψτε) (?:το )?(?:κειμενο|εδω)", r"^εδω (?:γραψτε|εισαγετε|συμπληρωστε|πληκτρολογηστε)", r"κειμενο προσ συμπληρωση", r"^δειγμα κειμενου", r"text for layout",
         r"lorem ipsum", r"γραψτε εδω", r"εδω μπαινει το κειμενο", r"υποδειγμα παραγραφου", r"χωρισ περιεχομενο", r"dummy (?:content|text)", r"\bgoes here\b", r"^body copy", r"^heading\.?$", r"^(?:κειμενο|τιτλοσ) ενοτητασ",
         r"placeholder (?:text|paragraph)", r"sample (?:text|paragraph)\b", r"(?:replace|αντικαταστηστε) (?:this|το|it) (?:text|πριν|before)",
     ),
@@ -86,7 +101,7 @@ def required(pattern: list) -> set[str]:
 
     def offer(x: set[str]) -> None:
         nonlocal best
-        if x and min(map(len, x)) > max(1, min(map(len, best), default=0)):
+        if x and min(map(len, x)) > 1 and (min(map(len, x)), -len(x)) > (min(map(len, best), default=0), -len(best)):
             best = x
 
     for op, arg in pattern:
@@ -124,7 +139,7 @@ def _rules() -> tuple[re.Pattern, dict[int, re.Pattern], ahocorasick.Automaton]:
 
 
 #: The forms that have only single characters for certain.
-LONE = re.compile(r"[{<%$#«][^\W\d]|\{\d")
+LONE = re.compile(r"[{<\[%$#«][^\W\d]|\{\d")
 LATIN = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(LATIN_FILLER))})(?![^\W\d_])")
 
 
@@ -233,14 +248,14 @@ def _prefix(frontier: DataFrame, often: DataFrame, similarity: float) -> DataFra
 
 
 def residue(documents: DataFrame, similarity: float = 0.8, distance: int = 16) -> DataFrame:
-    """doc_id, label of the documents that hold residue (the least label: 1 placeholder, 2 error, 3 script notice, 4 filler).
+    """doc_id, label, spread of the documents that hold residue (the least label: 1 placeholder, 2 error, 3 script notice, 4 filler; spread: only by likeness).
 
     documents: doc_id, text; other columns are ignored. Null ids and null or empty texts take no part; rows given more than once count once.
     similarity: least share of common words (numbers alike) for a label to spread between segments; distance: most differing bits.
     """
     rows = documents.select("doc_id", "text").where("doc_id is not null and text <> ''")
     seg = stage(rows.mapInArrow(_segments, SEGMENTS), "residue-segments")
-    found = seg.where("label > 0").select("doc_id", "label")
+    found = seg.where("label > 0").select("doc_id", "label", F.lit(False).alias("spread"))
     rest = seg.where("label = 0")
     known = seg.where("whole").groupBy("segment").agg(F.first("simhash").alias("simhash"), F.first("words").alias("words"), F.min("label").alias("label"))
     frontier = known = stage(known, "residue-known")
@@ -256,8 +271,8 @@ def residue(documents: DataFrame, similarity: float = 0.8, distance: int = 16) -
         if fresh.isEmpty():
             break
         known, frontier = known.unionByName(fresh), fresh
-    spread = rest.select("doc_id", "segment").join(checked_broadcast(known.select("segment", F.col("label"))), "segment").select("doc_id", "label")
-    return found.unionByName(spread).groupBy("doc_id").agg(F.min("label").alias("label"))
+    spread = rest.select("doc_id", "segment").join(checked_broadcast(known.select("segment", F.col("label"))), "segment").select("doc_id", "label", F.lit(True).alias("spread"))
+    return found.unionByName(spread).groupBy("doc_id").agg(F.min("label").alias("label"), F.bool_and("spread").alias("spread"))
 
 
 def without_residue(documents: DataFrame, **params: float) -> DataFrame:

@@ -307,3 +307,10 @@ def test_routing_over_many_flushes_and_buckets(monkeypatch, buckets, runs, met,
     want = {frozenset(p) for p in brute_overlap([(i, "train" if s == 1 else "val", t) for i, s, t in recs])}
     assert len(ids) < len(recs) and want <= got and len(want) > 100
     assert hits < 8 or len(got) < 90 * 45
+
+
+def test_residue_in_wordings_not_used_for_its_forms():
+    from heldout_residue import HELD_OUT, ORDINARY
+
+    hit = lambda t: any(residue.suspicious(s) and residue.label(s)[0] for s in residue.CUT.split(t) if s)
+    assert sum(map(hit, HELD_OUT)) >= 0.9 * len(HELD_OUT) and not any(map(hit, ORDINARY))
