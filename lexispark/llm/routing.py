@@ -75,6 +75,20 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "flush", "data"])
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 up in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _planes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low 16 bits of numbers and the rest of them, which often takes less than 16."""
+    return (x & 0xFFFF).astype(np.uint16), _small(x >> 16)
+
+
+def _join(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) | high.astype(np.int64) << 16
+
+
 def _deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=0).astype(np.uint16)
 
@@ -131,7 +145,7 @@ class _Flush:
         for a, b in zip(first, np.append(first[1:], len(bucket))):
             at = _groups(rec[a:b])
             own = rec[a:b][at]
-            yield POSTINGS, int(bucket[a]), self.number, _pack(_deltas(own), np.diff(np.append(at, b - a)).astype(np.uint32), side[own], seed[a:b], len(keys))
+            yield POSTINGS, int(bucket[a]), self.number, _pack(_deltas(own), _small(np.diff(np.append(at, b - a))), side[own], seed[a:b], len(keys))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -183,7 +197,7 @@ def _bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     both = (train > 0) & (train < size)
     keep = np.repeat(both, size)
     owner, side, size, train = owner[keep], side[keep], size[both], train[both]
-    out = [(POSTINGS, int(key[0]), -1, _pack(flushes, np.array(bases, np.int64), owner.astype(np.uint32 if base < 1 << 32 else np.int64), size.astype(np.uint32), train.astype(np.uint32)))]
+    out = [(POSTINGS, int(key[0]), -1, _pack(flushes, np.array(bases, np.int64), _planes(owner), _small(size), _small(train)))]
     frequent = _class(np.where(side == 1, np.repeat(size - train, size), np.repeat(train, size)))
     order = np.argsort(owner, kind="stable")
     owner, frequent = owner[order], frequent[order]
@@ -191,7 +205,7 @@ def _bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     for f, at, a, b in zip(flushes, bases, cut[:-1], cut[1:]):
         if b > a:
             first = _groups(owner[a:b])
-            out.append((FREQUENCIES, int(key[0]), int(f), _pack(_deltas(owner[a:b][first] - at), np.diff(np.append(first, b - a)).astype(np.uint32), frequent[a:b])))
+            out.append((FREQUENCIES, int(key[0]), int(f), _pack(_deltas(owner[a:b][first] - at), _small(np.diff(np.append(first, b - a))), frequent[a:b])))
     return _frame(out)
 
 
@@ -223,7 +237,7 @@ def _settle(share: float, hits: int):
             here = np.bincount(np.repeat(np.arange(len(own)), count)[cls == np.repeat(level[own], count)], minlength=len(own))
             drop = np.minimum(here, left[own])
             left[own] -= drop
-            out.append((CHOICE, int(k), int(key[0]), _pack(_deltas(own), np.where(alive, level, 256)[own].astype(np.uint16), drop.astype(np.uint32), n[own].astype(np.uint32))))
+            out.append((CHOICE, int(k), int(key[0]), _pack(_deltas(own), np.where(alive, level, 0)[own].astype(np.uint8), _small(drop), _small(n[own]))))
         return _frame(out)
 
     return run
@@ -234,7 +248,7 @@ def _meet(key: tuple, posted: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFram
     if not len(posted) or not len(chosen):
         return _frame([])
     flushes, bases, owner, size, train = pickle.loads(posted["data"].iloc[0])
-    owner, size, train = owner.astype(np.int64), size.astype(np.int64), train.astype(np.int64)
+    owner, size, train = _join(*owner), size.astype(np.int64), train.astype(np.int64)
     base_of = dict(zip(flushes.tolist(), bases.tolist()))
     parts = []
     for f, data in zip(chosen["flush"], chosen["data"]):
@@ -252,7 +266,6 @@ def _meet(key: tuple, posted: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFram
     part = part[np.argsort(at[part], kind="stable")]
     kept = part[_within(_groups(at[part]), len(part)) >= drop[at[part]]] if len(part) else part
     sends = cls < level[at]
-    sends &= level[at] < 256
     sends[kept] = True
     sender = np.flatnonzero(sends)
     lo = np.where(side[sender] == 1, (first + train)[group[sender]], first[group[sender]])
@@ -274,7 +287,7 @@ def _meet(key: tuple, posted: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFram
             by, held = by[larger], held[larger]
             if len(by):
                 begin = _groups(owner[by])
-                out.append((HOLDERS, int(key[0]), int(f), _pack(flushes, bases, _deltas(owner[by][begin] - bases[i]), np.diff(np.append(begin, len(by))).astype(np.uint32), owner[held].astype(np.uint32 if owner.max() < 1 << 32 else np.int64))))
+                out.append((HOLDERS, int(key[0]), int(f), _pack(flushes, bases, _deltas(owner[by][begin] - bases[i]), _small(np.diff(np.append(begin, len(by)))), _planes(owner[held]))))
             a, total = stop, np.cumsum(count[stop:b])
     return _frame(out)
 
@@ -290,7 +303,8 @@ def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     width = np.int64(len(flushes)) << 16
     keys = []
     for own, bases, who, count, held in met:
-        k = np.searchsorted(bases, held.astype(np.int64), side="right") - 1
+        held = _join(*held)
+        k = np.searchsorted(bases, held, side="right") - 1
         keys.append(np.repeat(_undo(who), count) * width + (np.searchsorted(flushes, own[k]) << 16) + (held - bases[k]))
     pair = np.sort(np.concatenate(keys))
     first = _groups(pair)
