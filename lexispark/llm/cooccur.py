@@ -1,7 +1,7 @@
 """Items that appear together: pair counts with blocking of large baskets, and association scores.
 
 Plan. Each basket's distinct items are sorted. Baskets of at most `block` items give their pairs at once; a larger one is cut into chunks of `block`
-items, and each pair of chunks is a row of its own, shuffled so that the products of one huge basket run in many tasks. All
+items; chunks are shuffled first and meet in pairs behind that, so that the products of one huge basket are made in many tasks. All
 pairs are then counted with map-side aggregation, so a hot item or pair is added up before the shuffle.
 """
 
@@ -23,16 +23,22 @@ def _between(left: Column, right: Column) -> Column:
 
 
 def pair_rows(baskets: DataFrame, items: str, block: int = 64) -> DataFrame:
-    """a, b: a row for each pair of distinct items (a < b by codepoint) of each basket."""
+    """a, b, n: each pair of distinct items (a < b by codepoint) of each basket, n times over; a pair has many rows.
+
+    A huge basket leaves its task as chunks, each once; equal baskets are one from there on, n times. Behind that shuffle every chunk goes to the products it takes part in, so that
+    neither the chunks' pairs nor the items' pairs of a basket are made in one task. Baskets are told apart by two hashes of their items: a task that is made again makes the same.
+    """
     own = baskets.select(F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("items"))
-    small = own.where(F.size("items").between(2, block)).select(F.explode(_inside(F.col("items"))).alias("p"))
-    k = F.ceil(F.size("items") / F.lit(block)).cast("int")
-    chunk = lambda i: F.slice("items", i * block + 1, F.lit(block))
-    large = own.where(F.size("items") > block).withColumn("i", F.explode(F.sequence(F.lit(0), k - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), k - 1)))
-    products = large.select("i", "j", chunk(F.col("i")).alias("left"), chunk(F.col("j")).alias("right")).repartition(F.xxhash64("i", "j", "left", "right"))
-    apart = products.where("i < j").select(F.explode(_between(F.col("left"), F.col("right"))).alias("p"))
-    within = products.where("i = j").select(F.explode(_inside(F.col("left"))).alias("p"))
-    return small.unionByName(apart).unionByName(within).select("p.a", "p.b")
+    small = own.where(F.size("items").between(2, block)).select(F.explode(_inside(F.col("items"))).alias("p"), F.lit(1).cast("bigint").alias("n"))
+    last = F.ceil(F.size("items") / F.lit(block)).cast("int") - 1
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("items", i * block + 1, F.lit(block)))
+    basket = F.struct(F.xxhash64("items").alias("x"), F.hash("items").alias("y"))
+    chunks = own.where(F.size("items") > block).select(basket.alias("basket"), last.alias("last"), F.posexplode(cut).alias("i", "chunk"))
+    chunks = chunks.groupBy("basket", "last", "i").agg(F.first("chunk").alias("chunk"), F.count("*").alias("n"))
+    met = chunks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    met = met.groupBy("basket", "lo", "hi").agg(F.max(F.when(F.col("i") == F.col("lo"), F.col("chunk"))).alias("left"), F.max(F.when(F.col("i") == F.col("hi"), F.col("chunk"))).alias("right"), F.max("n").alias("n"))
+    product = F.when(F.col("lo") == F.col("hi"), _inside(F.col("left"))).otherwise(_between(F.col("left"), F.col("right")))
+    return small.unionByName(met.select(F.explode(product).alias("p"), "n")).select("p.a", "p.b", "n")
 
 
 def associations(baskets: DataFrame, items: str, block: int = 64, least: int = 1) -> DataFrame:
@@ -40,7 +46,7 @@ def associations(baskets: DataFrame, items: str, block: int = 64, least: int = 1
 
     baskets: a row for each basket; null and empty arrays and null items take no part, an item counts once a basket. total: baskets with at least one item.
     """
-    pairs = pair_rows(baskets, items, block).groupBy("a", "b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= least)
+    pairs = pair_rows(baskets, items, block).groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least)
     single = baskets.select(F.explode(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     total = baskets.where(F.size(F.filter(items, lambda x: x.isNotNull())) > 0).agg(F.count("*").alias("total"))  # one row
     a = single.select(F.col("item").alias("a"), F.col("n").alias("n_a"))

@@ -1,13 +1,15 @@
 """Evaluation texts leaking into a corpus, by greedy string tiling.
 
-Plan. The evaluation items are the query set. Their runs of SEED words are a table of hashes; documents stream past it
-in Arrow batches: a document and an item that share a run are tiled: the longest non-overlapping matches are marked one after the other,
-found by running Karp-Rabin hashing from long matches to short ones, so reordered passages are all covered. Items go to the
+Plan. The evaluation items are the query set. Their runs of `seed` words are a table of hashes; documents stream past it
+in Arrow batches, and a document and an item that share a run are joined in it: all places of both. Shared runs are merged along diagonals into maximal matches, and the
+pair is tiled: from long lengths down to `seed`, matches of that length whose words are still free are marked one after the other, and what is cut off by
+a marked tile is searched again by running Karp-Rabin hashes. So reordered passages are all covered. Items go to the
 executors in blocks whose size is checked (one broadcast a block, as many passes as blocks), so the set may grow without bound.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,49 +17,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import BREAK, Words, chunks, rejoin, windows
+from .textkernel import BREAK, MIX1, Words, chunks, rejoin, windows
 
 SCHEMA = "item_id bigint, doc_id bigint, tiles int, longest int, covered int, item_words int"
 #: Words of items in one broadcast block: 8 bytes each for the words and 24 for their seeds.
 BLOCK_WORDS = 2_000_000
+#: Places that one search for shared runs lists at a time; more are searched with a longer run first.
+PLACES = 2_000_000
+
+
+def running(h: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of k words, each from two prefix hashes: H[i + k] - H[i] * b ** k."""
+    power = np.full(len(h) + 1, MIX1)
+    power[0] = 1
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(power)
+        # prefix hashes scaled by falling powers, so that one running sum makes them
+        inverse = np.full(len(h) + 1, np.uint64(pow(int(MIX1), -1, 1 << 64)))
+        inverse[0] = 1
+        inverse = np.multiply.accumulate(inverse)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * inverse[:-1])))
+        return (total[k:] - total[:-k]) * power[: len(h) - k + 1] if len(h) >= k else np.zeros(0, np.uint64)
+
+
+def places(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) at which the same run of k words stands in a and in b, in the order of i - j and i."""
+    ha, hb = running(a, k), running(b, k)
+    order = np.argsort(hb, kind="stable")
+    lo, hi = np.searchsorted(hb[order], ha), np.searchsorted(hb[order], ha, side="right")
+    size = hi - lo
+    i = np.repeat(np.arange(len(ha)), size)
+    j = order[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    order = np.lexsort((i, i - j))
+    return i[order], j[order]
+
+
+def meetings(a: np.ndarray, b: np.ndarray, k: int) -> int:
+    """How many places of runs of k words there are."""
+    x, n = np.unique(running(a, k), return_counts=True)
+    y, m = np.unique(running(b, k), return_counts=True)
+    _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int((n[p] * m[q]).sum())
+
+
+def matches(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal matches of at least k words: their starts in a and b and their lengths."""
+    i, j = places(a, b, k)
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] - j[1:] != i[:-1] - j[:-1]) | (i[1:] != i[:-1] + 1)
+    first = np.flatnonzero(new)
+    return i[first], j[first], np.diff(np.append(first, len(i))) + k - 1
 
 
 def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two word sequences: (start in a, start in b, length) of non-overlapping matches, longest first.
 
-    The search length starts at the longest match that running Karp-Rabin hashes can confirm and goes down to `least`.
+    Of matches of one length the one earlier in a, then in b, is marked first. A match that meets marked words is cut to its free stretches of at least `least` words, which wait
+    for their own turn. Sequences that repeat themselves have very many places: then only long runs are searched first, and shorter ones among the words left free.
     """
-    a, b = a.copy(), b.copy()
     used_a, used_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     tiles: list[tuple[int, int, int]] = []
+    k = least
+    while k < min(len(a), len(b)) and meetings(a, b, k) > PLACES:
+        k = min(2 * k, len(a), len(b))
     while True:
-        best: list[tuple[int, int, int]] = []
-        longest = least - 1
-        pos_b: dict[bytes, list[int]] = {}
-        for j in range(len(b) - least + 1):
-            if not used_b[j : j + least].any():
-                pos_b.setdefault(b[j : j + least].tobytes(), []).append(j)
-        i = 0
-        while i + least <= len(a):
-            if used_a[i : i + least].any():
-                i += 1
-                continue
-            for j in pos_b.get(a[i : i + least].tobytes(), ()):
-                n = least
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used_a[i + n] and not used_b[j + n]:
-                    n += 1
-                if n > longest:
-                    longest, best = n, [(i, j, n)]
-                elif n == longest:
-                    best.append((i, j, n))
-            i += 1
-        if longest < least:
-            return tiles
-        for i, j, n in best:
-            if not used_a[i : i + n].any() and not used_b[j : j + n].any():
+        # marked words become words of their own, which match nothing
+        free_a = np.where(used_a, np.arange(len(a), dtype=np.uint64) * np.uint64(2), a)
+        free_b = np.where(used_b, np.arange(len(b), dtype=np.uint64) * np.uint64(2) + np.uint64(1), b)
+        queue = [(-n, i, j) for i, j, n in zip(*(x.tolist() for x in matches(free_a, free_b, k)))]
+        heapq.heapify(queue)
+        while queue:
+            n, i, j = heapq.heappop(queue)
+            n = -n
+            taken = used_a[i : i + n] | used_b[j : j + n]
+            if not taken.any():
                 used_a[i : i + n] = True
                 used_b[j : j + n] = True
                 tiles.append((i, j, n))
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
+            for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if y - x >= k:
+                    heapq.heappush(queue, (x - y, i + x, j + x))
+        if k == least:
+            return tiles
+        k = max(least, k // 2)
 
 
 class Items:

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import checked_broadcast, stage
 
 SCHEMA = "budget_id int, container string, doc_id bigint, piece int, tokens int, closed boolean"
 #: Remainders that one task of the second level packs.
 GROUP = 200_000
+#: Budgets that one call packs for: each task keeps open containers of all of them. More are an error.
+BUDGETS = 1000
 
 
 @lru_cache(maxsize=2)
@@ -96,7 +98,10 @@ def pack(documents: DataFrame, budgets: DataFrame, path: str, pattern: str, most
     documents: doc_id, text; budgets: budget_id, capacity_tokens, reserved_tokens (a few rows); other columns are ignored. path: token ranks, pattern: their word pattern. Null ids and
     null or empty texts take no part; every row with a text is packed, repeated texts too. Budgets whose capacity isn't above what they reserve are an error.
     """
-    caps = {r["budget_id"]: r["capacity_tokens"] - (r["reserved_tokens"] or 0) for r in budgets.select("budget_id", "capacity_tokens", "reserved_tokens").distinct().limit(1000).collect()}
+    given = budgets.select("budget_id", "capacity_tokens", "reserved_tokens").distinct().limit(BUDGETS + 1).collect()
+    if len(given) > BUDGETS:
+        raise ValueError(f"more than {BUDGETS} budgets")
+    caps = {r["budget_id"]: r["capacity_tokens"] - (r["reserved_tokens"] or 0) for r in given}
     if any(c <= 0 for c in caps.values()):
         raise ValueError("a budget has no room")
 
@@ -137,7 +142,7 @@ def pack(documents: DataFrame, budgets: DataFrame, path: str, pattern: str, most
     def again(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         b, g = key
         p = BestFit(caps[b], most)
-        part = part.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True])
+        part = part.sort_values(["doc_id", "piece"])  # online as in the first level: the order is the texts', not their sizes'
         done = [c for d, i, n in zip(part["doc_id"], part["piece"], part["tokens"]) for c in p.add((d, i), int(n))] + p.rest()
         return pd.DataFrame([(b, f"b{g}-{k}", d, i, n) for k, items in enumerate(done) for (d, i), n in items], columns=["budget_id", "container", "doc_id", "piece", "tokens"])
 
@@ -152,4 +157,4 @@ def fill_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     """For each budget: containers, texts, tokens, share of the capacity used."""
     per = packed.groupBy("budget_id", "container").agg(F.sum("tokens").alias("used"))
     caps = budgets.select("budget_id", (F.col("capacity_tokens") - F.coalesce("reserved_tokens", F.lit(0))).alias("room")).distinct()
-    return per.join(F.broadcast(caps), "budget_id").groupBy("budget_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.round(F.sum("used") / F.sum("room"), 4).alias("filled"))
+    return per.join(checked_broadcast(caps), "budget_id").groupBy("budget_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.round(F.sum("used") / F.sum("room"), 4).alias("filled"))

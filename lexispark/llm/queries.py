@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..plans.catalogue import Catalogue
 from ..plans.session import table
-from . import cooccur, termcount
+from . import cooccur, oracle, termcount
 
 LLM = Catalogue()
 
 
-@LLM.add("p1_found")
+@LLM.add("p1_found", oracle.P1_FOUND)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from .overlap import split_overlap
 
@@ -33,13 +33,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found(table(spark, d, "records"), table(spark, d, "mentions"), table(spark, d, "term_dictionary"))
 
 
-@LLM.add("p7_found")
+@LLM.add("p7_found", oracle.P7_FOUND)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .leakage import leaks
 
     return leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("item_id", "doc_id")
 
 
+@LLM.add("p7_covered")
+def p7_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which an item is covered to a half or more by passages of six words or more, in whatever order they stand."""
+    from .leakage import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), seed=6, coverage=0.5)
+
+
 @LLM.add("p7_items")
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     from .leakage import leaked_items

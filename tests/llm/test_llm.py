@@ -131,7 +131,7 @@ def test_gram_counts_against_brute_force(spark):
 @pytest.mark.parametrize("block", [2, 3, 64])
 def test_pairs_against_brute_force(spark, block):
     rng = random.Random(7)
-    baskets = [(i, rng.choices("abcdefgh", k=rng.randrange(12)) + [None] * (i % 2)) for i in range(60)] + [(99, None)]
+    baskets = [(i, rng.choices("abcdefgh", k=rng.randrange(12)) + [None] * (i % 2)) for i in range(60)] + [(99, None), *[(100 + i, list("hgfedcbaxyz")) for i in range(4)]]
     want = {}
     for _, b in baskets:
         for p in itertools.combinations(sorted({x for x in b or () if x}), 2):
@@ -173,6 +173,45 @@ def test_packing_keeps_every_token(spark):
                 assert sum(per[i]) == n and (len(per[i]) == 1) == (n <= room)
 
 
+def test_packing_budgets_beyond_the_bound(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="budgets"):
+        packing.pack(df, spark.range(packing.BUDGETS + 1).selectExpr("int(id) as budget_id", "9 as capacity_tokens", "0 as reserved_tokens"), "", "")
+
+
+def test_tiling_is_greedy(spark):
+    """Against the definition: the longest match of free words, earliest first, again and again."""
+
+    def slow(a, b, least):
+        ua, ub, out = [False] * len(a), [False] * len(b), []
+        while True:
+            best = (0, 0, least - 1)
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not ua[i + n] and not ub[j + n]:
+                    n += 1
+                best = (i, j, n) if n > best[2] else best
+            if best[2] < least:
+                return out
+            out.append(best)
+            ua[best[0] : best[0] + best[2]] = ub[best[1] : best[1] + best[2]] = [True] * best[2]
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = (np.array(rng.choices(range(10**9, 10**9 + rng.choice((2, 4, 20))), k=rng.randrange(40)), np.uint64) for _ in "ab")
+        least = rng.choice((1, 2, 4))
+        assert leakage.tile(a, b, least) == slow(a.tolist(), b.tolist(), least)
+    period = np.arange(5000, dtype=np.uint64) % np.uint64(7)
+    assert leakage.tile(period, period[3:], 12) == [(3, 0, 4997)]
+
+
+def test_reordered_passages_are_covered(spark):
+    w = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(w[20:] + ["x"] + w[:10] + ["y"] + w[10:20])), (2, " ".join(w[:10]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(w))], "item_id bigint, text string")
+    assert rows(leakage.leaks(docs, items, seed=6, coverage=0.5), "item_id", "doc_id", "tiles", "covered") == [(7, 1, 3, 30)]
+
+
 def test_tiling():
     h = lambda s: textkernel.Words([s]).hash
     a, b = "a b c d e f g h", "x e f g h y a b c d"
