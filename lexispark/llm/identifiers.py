@@ -22,41 +22,54 @@ from ..plans.staging import checked_broadcast, stage
 
 INSTANCES = "record_id bigint, kind string, found_value string, begin int, seed boolean, tokens array<string>, patterns array<string>"
 #: Least share of known instances for a pattern of a kind to be accepted.
-CONFIDENCE = {"email": 0.0, "id_number": 0.0, "phone": 0.06, "address": 0.2, "name": 0.6}
+CONFIDENCE = {"email": 0.05, "id_number": 0.3, "phone": 0.06, "address": 0.2, "name": 0.6}
 
 # Words that stand before identity numbers, streets and towns, in the languages of the texts.
-ID_LABEL = r"(?:Α\.?\s?Μ\.?\s?Κ\.?\s?Α\.?|A\.?M\.?K\.?A\.?|αριθμός μητρώου κοινωνικής ασφάλισης|αρ\.? μητρώου(?: κοινωνικής ασφάλισης)?|Α\.?\s?Φ\.?\s?Μ\.?|A\.?F\.?M\.?|αριθμός φορολογικού μητρώου|φορολογικό μητρώο|Α\.?\s?Δ\.?\s?Τ\.?|A\.?D\.?T\.?|αρ(?:\.|ιθμός) ταυτότητας|δελτίο ταυτότητας|ταυτότητα|αρ(?:\.|ιθμός) διαβατηρίου|διαβατήριο|passport(?: (?:no\.?|number))?|identity card(?: no\.?)?|id card(?: no\.?)?|social security(?: (?:no\.?|number))?|tax (?:id|no\.?|number))"
+ID_LABEL = r"(?:Α\.?\s?Μ\.?\s?Κ\.?\s?Α\.?|A\.?M\.?K\.?A\.?|αριθμός μητρώου κοινωνικής ασφάλισης|αρ\.? μητρώου(?: κοινωνικής ασφάλισης)?|Α\.?\s?Φ\.?\s?Μ\.?|A\.?F\.?M\.?|αριθμός φορολογικού μητρώου|φορολογικό μητρώο|Α\.?\s?Δ\.?\s?Τ\.?|A\.?D\.?T\.?|αρ(?:\.|ιθμός) ταυτότητας|δελτίο ταυτότητας|ταυτότητα|αρ(?:\.|ιθμός) διαβατηρίου|διαβατήριο|passport(?: (?:no\.?|number))?|Α\.?Τ\.|national insurance(?: (?:no\.?|number))?|identity card(?: no\.?)?|id card(?: no\.?)?|social security(?: (?:no\.?|number))?|tax (?:id|no\.?|number))"
 #: Letters, with the marks and invisible characters that may stand in a word.
 LETTERS = r"A-Za-zÀ-ɏͰ-Ͽἀ-῿\u0400-\u04ff\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad"
 UPPER = r"A-ZÀ-ÖØ-ÞΑ-ΩΆΈΉΊΌΎΏΪΫ\u0400-\u042f"
 #: White space within a line.
 S = r"[^\S\r\n]"
 STREET = r"(?:[Οο]δός|[Οο]δού|ΟΔΟΣ|[Οο]δ\.|[Λλ]εωφ(?:όρος|\.)|ΛΕΩΦ(?:ΟΡΟΣ|\.)|[Ππ]λατεία|ΠΛΑΤΕΙΑ|[Ππ]λ\.|[Ππ]άροδος|ΠΑΡΟΔΟΣ)"
-WORD = rf"[{UPPER}][{LETTERS}]+"
+WORD = rf"[{UPPER}](?:['’][{UPPER}])?[{LETTERS}]+"
 PLACE = rf"(?:(?:Άνω|Κάτω|Νέο|Νέα|Νέος|Παλιό|Παλαιό|Παλαιά|Παλιά|Μέσα|Έξω|Πέρα|Άγιος|Αγία|Άγιοι|ΑΝΩ|ΚΑΤΩ|ΝΕΟ|ΝΕΑ|ΠΑΛΙΟ|ΠΑΛΑΙΟ|ΠΑΛΑΙΑ|ΠΕΡΑ|ΑΓΙΟΣ|ΑΓΙΑ){S})?{WORD}(?:{S}{WORD})?"
 CODE = rf"(?:(?:[ΤT]\.?{S}?[ΚK]\.?{S}?)?\d{{3}}{S}?\d{{2}})(?!\d)"
-NUMBER = rf"\d{{1,3}}(?:{S}?[Α-ΩA-Z])?(?![\w/.:-]\w|\w)"
+NUMBER = rf"(?:(?:αρ(?:ιθ)?\.?|αριθμός|no\.?){S}?)?\d{{1,3}}(?:{S}?[Α-ΩA-Z])?(?![\w/.:-]\w|\w)"
 TAIL = rf"(?:,?{S}(?:{CODE},?{S}{PLACE}|{PLACE}(?:,?{S}{CODE})?|{CODE}))"
 CROSSING = rf"(?:{S}?&{S}?(?:{STREET}{S}?)?{WORD}(?:{S}{WORD})?(?:{S}{NUMBER})?)"
 ADDRESS = re.compile(rf"(?<![\w-])(?:{STREET}{S}?{WORD}(?:{S}{WORD}){{0,2}}{S}{NUMBER}{CROSSING}?{TAIL}?|{WORD}(?:{S}{WORD}){{0,2}}{S}{NUMBER}(?:{CROSSING}{TAIL}?|{TAIL}))")
+#: The same in English: number, street, town, postcode.
+ROAD = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Square|Drive|Terrace|Gardens|Crescent)"
+ENGLISH = re.compile(rf"(?<![\w./-])\d{{1,4}}[A-Za-z]?{S}(?:{WORD}{S}){{1,3}}{ROAD}(?!\w)(?:,{S}{WORD}(?:{S}{WORD})?)?(?:,?{S}[A-Z]{{1,2}}\d[\dA-Z]?(?:{S}\d[A-Z]{{2}})?)?(?!\w)")
+ROADS = re.compile(rf"[a-z]{S}{ROAD}(?!\w)")
 #: What every address has: a street's word, or a short number before a comma, a crossing, a postcode or a capital.
 HINT = re.compile(rf"[Οο]δός|[Οο]δού|ΟΔΟΣ|[Οο]δ\.|εωφ|ΛΕΩΦ|λατεία|ΠΛΑΤΕΙΑ|άροδος|ΠΑΡΟΔΟΣ|(?<=[{LETTERS}]{S})\d{{1,3}}{S}?[Α-ΩA-Z]?(?:,{S}(?:\d{{3}}{S}?\d\d|[{UPPER}])|{S}(?:\d{{3}}{S}?\d\d|[{UPPER}])|{S}?&)")
 EMAIL = re.compile(
-    rf"[\w.+-]+\s?@\s?[\w-]+(?:\.[\w-]+)+|[\w.+-]+\s?[(\[]\s?(?:at|παπάκι|παπακι)\s?[)\]]\s?[\w-]+(?:(?:\.|\s?[(\[]\s?(?:dot|τελεία|τελεια)\s?[)\]]\s?)[\w-]+)+|[\w.+-]+ (?:at|παπάκι) [\w-]+(?:\.[\w-]+)*(?:(?: (?:dot|τελεία) |\.)[\w-]+)+",
+    rf"[\w.+-]+\s?@\s?[\w-]+(?:\.[\w-]+)+|[\w.+-]+\s?[(\[]\s?(?:a|at|παπάκι|παπακι)\s?[)\]]\s?[\w-]+(?:(?:\.|\s?[(\[]\s?(?:dot|τελεία|τελεια)\s?[)\]]\s?)[\w-]+)+|[\w.+-]+ (?:at|παπάκι) [\w-]+(?:\.[\w-]+)*(?:(?: (?:dot|τελεία) |\.)[\w-]+)+",
     re.IGNORECASE,
 )
+#: What makes an address by itself; other spellings of the sign are judged by their contexts.
+AT = re.compile(r"@|[(\[]\s?(?:at|παπάκι|παπακι)\s?[)\]]", re.IGNORECASE)
+#: Numbers in other groups: abroad behind a prefix, or at home ten digits that begin as lines and mobiles do.
+PHONE_GROUPS = re.compile(r"(?<![\w.,/+(-])(?:(?:\+|00)\d{1,3}(?:[ .-]?\(0\))?(?:[ .-]\d{2,5}){2,5}|[26]\d{1,3}(?:[ .-]\d{2,4}){2,4})(?![\w]|[.,/-]\d)")
 PHONE = re.compile(r"(?<![\w.,/+(-])(?<!\d:)(?:(?:\+|00)\s?\d{2}[\s.\-/]?)?(?:\(\d{3,4}\)|\d{3,4})[\s.\-/]?\d{3}[\s.\-/]?\d{3,4}(?![\w]|[.,/-]\d)")
-ID_NUMBER = re.compile(rf"(?<!\w)({ID_LABEL})\s?:?\s?(\d{{6}}[\s-]?\d{{5}}|\d{{3}}[\s.-]\d{{3}}[\s.-]\d{{3}}|\d{{6,12}}|[{UPPER}]{{1,2}}[\s-]?\d{{5,8}})(?!\w)", re.IGNORECASE)
+#: What may stand between a label and its number: whose it is, the office, a sign.
+OWNER = r"(?:\s?/\s?[^\W\d]{2,4}\.?)?(?:\s(?:του|της|of|του/της)(?:\s(?:the|κ\.))?)?(?:\s(?:ασθεν\w+|πατρ\w+|μητρ\w+|συζύγ\w+|τέκν\w+|συνοδ\w+|patient|spouse|mother|father))?\s?[:=#–-]?\s?"
+ID_SHAPE = rf"(?:\d{{6}}[\s-]?\d{{5}}|\d{{3}}[\s.-]\d{{3}}[\s.-]\d{{3}}|\d{{6,12}}|[{UPPER}]{{1,2}}[\s-]?\d{{5,8}})(?!\w)"
+ID_NUMBER = re.compile(rf"(?<!\w)({ID_LABEL}){OWNER}({ID_SHAPE})", re.IGNORECASE)
+#: The same shapes without a label: their contexts decide.
+ID_OPEN = re.compile(rf"(?<![\w.,/+-])(?:\d{{6}}[ -]?\d{{5}}|\d{{9}}|[{UPPER}]{{1,2}}[ -]?\d{{6,7}})(?![\w]|[.,/-]\d)")
 #: A name: two or three capitalised words of which one may be initials, either order.
 INITIAL = rf"[{UPPER}]\.(?:[ -]?[{UPPER}]\.)?"
 FULL = rf"{WORD}(?:-{WORD})?"
 #: Neighbouring candidates may share a word; their contexts decide.
-NAME = re.compile(rf"(?<![\w@.&/-])(?=((?!(?:Dr|Mr|Mrs|Ms|Prof|Δρ)\b)(?:{INITIAL}{S}?{FULL}|{FULL},?{S}(?:{INITIAL}|{FULL})(?![\w@]))))[{UPPER}]")
+NAME = re.compile(rf"(?<![\w@.&/-])(?=((?!(?:Dr|Mr|Mrs|Ms|Prof|Δρ)\b)(?:{INITIAL}{S}?{FULL}|{FULL}{S}{INITIAL}{S}?{FULL}(?=[,;)\r\n]|\.(?:\s|$)|$)|{FULL},?{S}(?:{INITIAL}|{FULL})(?![\w@]))))[{UPPER}]")
 #: What settles by itself that a person follows.
-TITLE = re.compile(r"(?:^|[^\w])(?:κ\.|κα|κος|Δρ\.?|Dr\.?|Mr\.?|Mrs\.?|Ms\.?|Ονοματεπώνυμο:|Full name:)\s$")
+TITLE = re.compile(r"(?:^|[^\w])(?:κ\.|κα|κος|[Κκ]ύριο[ςυν]?|[Κκ]υρίου|[Κκ]υρία[ςν]?|Δρ\.?|Dr\.?|Mr\.?|Mrs\.?|Ms\.?|Miss|Prof\.?|Ονοματεπώνυμο:|Full name:)\s$")
 #: Heads of signs, scales and syndromes: the name after them is no person's.
 EPONYM = frozenset("σημειο δοκιμασια κλιμακα συνδρομο νοσοσ sign test scale syndrome disease".split())
-SINGLE = re.compile(rf"(?<!\w)(?:κ\.|κα|Δρ\.|Dr\.?|Mr\.?|Mrs\.?)\s({FULL})")
+SINGLE = re.compile(rf"(?<!\w)(?:κ\.|κα|[Κκ]ύριο[ςυν]?|[Κκ]υρίου|[Κκ]υρία[ςν]?|Δρ\.|Dr\.?|Mr\.?|Mrs\.?|Miss)\s({FULL})")
 
 
 def _plain(s: str) -> str:
@@ -101,10 +114,10 @@ def instances(text: str) -> list[tuple[str, int, int, bool]]:
             out.append((kind, a, b, seed))
 
     low = text.lower()
-    if "@" in text or "παπάκι" in low or "(at)" in low or "[at]" in low or " dot " in low or "τελεία" in low:
+    if "@" in text or "παπάκι" in low or "(at)" in low or "[at]" in low or "(a)" in low or "[a]" in low or " dot " in low or "τελεία" in low:
         for m in EMAIL.finditer(text):
             b = m.start() + len(m.group().rstrip(".-"))
-            take("email", m.start(), b, "@" in m.group() or "(" in m.group() or "[" in m.group())
+            take("email", m.start(), b, AT.search(m.group()) is not None)
     digits = LONG.search(text) is not None
     if digits:
         for m in ID_NUMBER.finditer(text):
@@ -116,15 +129,24 @@ def instances(text: str) -> list[tuple[str, int, int, bool]]:
             n = sum(c.isdigit() for c in m.group())
             if 10 <= n <= 14:
                 take("phone", m.start(), m.end(), m.group().startswith(("+", "00")))
+        for m in PHONE_GROUPS.finditer(text):
+            n, abroad = sum(c.isdigit() for c in m.group()), m.group().startswith(("+", "00"))
+            if 9 <= n <= 15 if abroad else n == 10:
+                take("phone", m.start(), m.end(), abroad)
+        for m in ID_OPEN.finditer(text):
+            take("id_number", m.start(), m.end(), False)
     if HINT.search(text):
         for m in ADDRESS.finditer(text):
             take("address", m.start(), m.end(), re.match(STREET, m.group()) is not None)
+    if ROADS.search(text):
+        for m in ENGLISH.finditer(text):
+            take("address", m.start(), m.end(), True)
     names = [(*m.span(1), TITLE.search(text[max(0, m.start() - 20) : m.start()]) is not None) for m in NAME.finditer(text)]
     for a, b, seed in names:
         if seed:
             take("name", a, b, True)
     out += [("name", a, b, False) for a, b, seed in names if not seed and free(a, b) and EPONYM.isdisjoint(_plain(text[a:b]).split())]
-    if "κ." in text or "Δρ" in text or "Dr" in text or "κα " in text or "Mr" in text:
+    if "κ." in text or "Δρ" in text or "Dr" in text or "κα " in text or "Mr" in text or "ύρι" in text or "υρί" in text or "Miss" in text:
         for m in SINGLE.finditer(text):
             take("name", m.start(1), m.end(1), True)
     return out
@@ -167,9 +189,8 @@ class Extraction:
     def accepted(self) -> DataFrame:
         """record_id, kind, found_value, begin of the accepted instances."""
         every = stage(self.records.mapInArrow(_rows, INSTANCES), "identifiers-instances")
-        # kinds whose shape settles them need no pattern
-        sure = every.where(F.col("seed") | (self.least() == 0))
-        open_kinds = every.where(self.least() > 0)
+        sure = every.where("seed")
+        open_kinds = every
         links = open_kinds.select("kind", F.explode("tokens").alias("token"), "seed")
         # token nodes: how often in seeds, how often at all
         known = links.groupBy("kind", "token").agg(F.sum(F.col("seed").cast("int")).alias("k"), F.count("*").alias("n")).where("k > 0 and k >= 0.1 * n").select("kind", "token")

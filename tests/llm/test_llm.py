@@ -353,3 +353,18 @@ def test_residue_in_wordings_not_used_for_its_forms():
 
     hit = lambda t: any(residue.suspicious(s) and residue.label(s)[0] for s in residue.CUT.split(t) if s)
     assert sum(map(hit, HELD_OUT)) >= 0.9 * len(HELD_OUT) and not any(map(hit, ORDINARY))
+
+
+def test_identifiers_of_open_shapes(spark):
+    """Spellings that no seed has are discovered by the contexts they share with seeds; the same shapes elsewhere are not."""
+    recs = [(i, f"Τηλ. επικοινωνίας +30 210 123 45{i:02d}. ΑΜΚΑ: 010170-123{i:02d}, e-mail: a{i}@b.example. Συσκευή 9{i:02d}456789 σε λειτουργία.") for i in range(40)]
+    recs += [
+        (100, "Τηλ. επικοινωνίας 69 41 23 45 67."), (101, "Τηλ. επικοινωνίας +44 20 7946 0958."), (102, "123, e-mail: maria(a)mail.example, ώρα 10"), (103, "Ήρθε ο κύριος Παπαδάκης."), (104, "Mr. O'Brien was seen."),
+        (105, "Lives at 12 Baker Street, London NW1 6XE."), (106, "Μένει οδός Ανεμώνης αρ. 12, 123 45 Βρύση."), (107, "ΑΜΚΑ - 01017012345"), (108, "ΑΜΚΑ ασθενούς: 010150 12345"), (109, "Α.Τ. ΑΒ 123456"), (110, "ΑΦΜ/ΔΟΥ 123456789"), (111, "Δρ. Γεώργιος Α. Παπαδόπουλος, παθολόγος"),
+        (112, "Μέτρηση 69 41 23 45 67 μονάδων."), (113, "Πρωτόκολλο 123456789 της κλινικής."),
+    ]
+    got = [g for g in rows(identifiers.found(spark.createDataFrame(recs, "record_id bigint, text string")), "record_id", "kind", "found_value") if g[0] >= 100]
+    assert got == [
+        (100, "phone", "69 41 23 45 67"), (101, "phone", "+44 20 7946 0958"), (102, "email", "maria(a)mail.example"), (103, "name", "Παπαδάκης"), (104, "name", "O'Brien"), (105, "address", "12 Baker Street, London NW1 6XE"),
+        (106, "address", "οδός Ανεμώνης αρ. 12, 123 45 Βρύση"), (107, "id_number", "01017012345"), (108, "id_number", "010150 12345"), (109, "id_number", "ΑΒ 123456"), (110, "id_number", "123456789"), (111, "name", "Γεώργιος Α. Παπαδόπουλος"),
+    ]
