@@ -6,8 +6,10 @@ A dictionary is (term, codes array<string>) with normalized terms. Texts are fra
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,9 +85,9 @@ def match_substring(texts: DataFrame, dictionary: DataFrame, key: str = "record_
     return match(texts, dictionary, key, text, whole_words=False)
 
 
-def predict(texts: DataFrame, dictionary: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
+def predict(texts: DataFrame, dictionary: DataFrame, key: str = "record_id", text: str = "text", whole_words: bool = True) -> DataFrame:
     """key, codes: sorted distinct codes of the terms in each text; texts without a match are absent."""
-    m = match(texts, dictionary, key, text).select(key, F.explode("codes").alias("code"))
+    m = match(texts, dictionary, key, text, whole_words).select(key, F.explode("codes").alias("code"))
     return m.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
 
@@ -135,83 +137,81 @@ def negation_filter(texts: DataFrame, pairs: list[tuple[str, str, list[str]]], w
     return texts.select(key, let(tokenize(normalize_text(F.col(text), fold_sigma=True)), kept).alias(codes))
 
 
-def fuzzy_ratio(needle: str, text: str) -> float:
-    """Best share of equal characters (100 - normalized edit distance) of the needle in any stretch of the text, 0..100."""
-    if not needle:
-        return 0.0
-    row = [0] * (len(text) + 1)
-    for i, c in enumerate(needle, 1):
-        prev, row[0] = row[0], i
-        for j, d in enumerate(text, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (c != d))
-    return 100.0 * (1 - min(row) / len(needle))
-
-
-def fewest_edits(needle: str, text: str) -> int:
-    """Edits between the needle and the stretch of the text that is most like it, bit-parallel (Myers)."""
-    m = len(needle)
+def common_length(needle: str, text: str) -> int:
+    """Length of the longest common subsequence, bit-parallel."""
     masks: dict[str, int] = {}
     for i, c in enumerate(needle):
         masks[c] = masks.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, m
+    full = (1 << len(needle)) - 1
+    v = full
     for c in text:
-        eq = masks.get(c, 0)
-        xv, xh = eq | mv, (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | (~(xh | pv) & full), pv & xh
-        score += ((ph & top) > 0) - ((mh & top) > 0)
-        best = min(best, score)
-        ph, mh = ph << 1 & full, mh << 1 & full
-        pv, mv = mh | (~(xv | ph) & full), ph & xv
-    return best
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(needle) - v.bit_count()
 
 
-def pieces(d: str, threshold: float) -> tuple[int, list[tuple[int, str]]]:
-    """Most edits k at which the ratio is still reached, and k + 1 pieces with their places, one of which such edits leave unchanged."""
-    m = len(d)
-    k = max(e for e in range(m + 1) if e == 0 or 100.0 * (1 - e / m) >= threshold)
-    cut = [i * m // (k + 1) for i in range(k + 2)]
-    return k, [(a, d[a:b]) for a, b in zip(cut, cut[1:])]
+def windows(m: int, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of a text's windows of m characters, and of its beginnings and ends so long that all of them in common would reach the threshold."""
+    least = int(np.ceil(threshold * m / (200.0 - threshold) - 1e-9)) if threshold < 200 else m
+    short = np.arange(max(1, least), m)
+    full = np.arange(n - m + 1)
+    return np.concatenate((full, np.zeros(len(short), np.int64), n - short)), np.concatenate((full + m, short, np.full(len(short), n)))
 
 
-def fuzzy_fallback(texts: DataFrame, descriptions: DataFrame, threshold: float = 85.0, key: str = "record_id", text: str = "text", most: int = 10_000) -> DataFrame:
-    """key, code: codes whose description (code, description) stands in the text up to a share of differing characters.
+def partial_ratio(a: str, b: str, threshold: float = 0.0, counts: tuple[dict[str, int], np.ndarray] | None = None) -> float:
+    """Greatest likeness of the shorter string with a window of its length in the longer one, or with a beginning or end of it: 200 * common / (both lengths).
 
-    An automaton finds the places where a piece of a description stands unchanged; only there is the distance computed, and no match is lost. A text of any length is compared whole.
+    0 if that is below the threshold. Only windows that have enough characters in common with it, in whatever order, are compared; none at the threshold is lost.
+    counts: characters of b and how many of each stand before each place.
+    """
+    if len(a) > len(b):
+        a, b, counts = b, a, None
+    if not a:
+        return 100.0 if not b else 0.0
+    known, before = counts or character_counts(b)
+    lo, hi = windows(len(a), len(b), threshold)
+    bag = np.zeros(len(lo), np.int64)
+    for c in set(a) & known.keys():
+        row = before[known[c]]
+        bag += np.minimum(row[hi] - row[lo], a.count(c))
+    best = 0.0
+    bound = 200.0 * bag / (len(a) + hi - lo)
+    for i in np.flatnonzero(bound >= threshold - 1e-9)[np.argsort(-bound[bound >= threshold - 1e-9], kind="stable")].tolist():
+        if bound[i] <= best:
+            break
+        best = max(best, 200.0 * common_length(a, b[lo[i] : hi[i]]) / (len(a) + hi[i] - lo[i]))
+    return best if best >= threshold - 1e-9 else 0.0
+
+
+def character_counts(text: str) -> tuple[dict[str, int], np.ndarray]:
+    """The characters of a text, and for each how many of it stand before each place."""
+    known = {c: i for i, c in enumerate(dict.fromkeys(text))}
+    codes = np.fromiter(map(known.__getitem__, text), np.int64, len(text))
+    before = np.zeros((len(known), len(text) + 1), np.int32)
+    before[codes, np.arange(1, len(text) + 1)] = 1
+    return known, np.cumsum(before, axis=1, dtype=np.int32)
+
+
+def fuzzy_fallback(texts: DataFrame, descriptions: DataFrame, threshold: float = 85.0, key: str = "record_id", text: str = "text", covered: DataFrame | None = None, shortest: int = 4, most: int = 10_000) -> DataFrame:
+    """key, code: codes whose description (code, description) has at least this partial ratio with the text.
+
+    covered: codes that the dictionary has terms for; only others are looked for. Descriptions of fewer than `shortest` characters are left out. Whole texts are compared, and
+    no match is lost: windows that lack the characters for the threshold are left out by running counts, the others are compared.
     """
-    rows = descriptions.select("code", normalize_text(F.col("description"), fold_sigma=True).alias("d")).where("d <> ''").distinct().limit(most + 1).collect()
+    wanted = descriptions.select("code", normalize_text(F.col("description"), fold_sigma=True).alias("d")).where(f"char_length(d) >= {shortest}").distinct()
+    if covered is not None:
+        wanted = wanted.join(covered.select("code").distinct(), "code", "left_anti")
+    rows = wanted.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} descriptions")
     shared = texts.sparkSession.sparkContext.broadcast([(r["code"], r["d"]) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, edits, always = ahocorasick.Automaton(), [], set()
-        places: dict[str, list[tuple[int, int]]] = {}
-        for i, (code, d) in enumerate(shared.value):
-            k, parts = pieces(d, threshold)
-            edits.append(k)
-            if k >= len(d):
-                always.add(code)
-                continue
-            for at, piece in parts:
-                places.setdefault(piece, []).append((i, at))
-        for piece, where in places.items():
-            automaton.add_word(piece, (len(piece), where))
-        automaton.make_automaton()
         for b in batches:
             out = []
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found, seen = set(always), set()
-                for end, (n, where) in automaton.iter(s) if places else ():
-                    for i, at in where:
-                        code, d = shared.value[i]
-                        begin = end + 1 - n - at
-                        if code in found or (i, begin) in seen:
-                            continue
-                        seen.add((i, begin))
-                        if fewest_edits(d, s[max(0, begin - edits[i]) : max(0, begin + len(d) + edits[i])]) <= edits[i]:
-                            found.add(code)
-                out += [(k, c) for c in sorted(found)]
+                counts = character_counts(s)
+                out += [(k, c) for c in sorted({code for code, d in shared.value if partial_ratio(d, s, threshold, counts)})]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([c for _, c in out])], names=["key", "code"])
 
@@ -219,9 +219,71 @@ def fuzzy_fallback(texts: DataFrame, descriptions: DataFrame, threshold: float =
     return norm.mapInArrow(run, "key bigint, code string").distinct().withColumnRenamed("key", key)
 
 
+def candidates(dictionary: DataFrame, descriptions: DataFrame, labels: DataFrame | None = None, blacklist: list[str] | None = None) -> DataFrame:
+    """term, codes: the dictionary's terms and the normalized descriptions (code, description) as terms, limited to the codes of a label space, without blacklisted terms."""
+    rows = dictionary.select("term", F.explode("codes").alias("code")).unionByName(descriptions.select(normalize_text(F.col("description"), fold_sigma=True).alias("term"), "code")).where("term <> '' and code is not null")
+    if labels is not None:
+        rows = rows.join(labels.select("code").distinct(), "code", "left_semi")
+    if blacklist:
+        rows = rows.where(~F.col("term").isin(blacklist))
+    return rows.groupBy("term").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
+@dataclass(frozen=True)
+class Chain:
+    """What a prediction goes through behind the match, each part in its turn and only if it is given.
+
+    boosts: (patterns, codes added); rules: (if any, then add); section: (headers, stops, code added); negations: (negator, disease, codes) with a window; fuzzy: threshold.
+    """
+
+    whole_words: bool = True
+    boosts: tuple[tuple[list[str], list[str]], ...] = ()
+    rules: tuple[tuple[list[str], list[str]], ...] = ()
+    section: tuple[list[str], list[str], str] | None = None
+    negations: tuple[tuple[str, str, list[str]], ...] = ()
+    window: int = 4
+    fuzzy: float | None = None
+
+
+def predict_chain(texts: DataFrame, dictionary: DataFrame, chain: Chain, key: str = "record_id", text: str = "text", descriptions: DataFrame | None = None) -> DataFrame:
+    """key, codes (sorted; texts without a code are absent): match, boosts, rules, section filter, negation filter, fuzzy fallback, in that order.
+
+    The section filter takes away codes whose terms match only inside the section; codes that boosts and rules added stay, as do those with a match outside.
+    """
+    none = F.array().cast("array<string>")
+    rows = texts.select(key, text, normalize_text(F.col(text), fold_sigma=True).alias("norm")).where(f"{key} is not null and norm <> ''")
+    found = predict(rows, dictionary, key, text, chain.whole_words)
+    j = rows.join(found, key, "left").withColumn("codes", F.coalesce("codes", none))
+    codes = L.close(L.boost(F.col("norm"), F.col("codes"), list(chain.boosts)), list(chain.rules)) if chain.boosts or chain.rules else F.col("codes")
+    j = j.withColumn("now", codes)
+    if chain.section:
+        headers, stops, flag = chain.section
+        segment, rest = split_section("n", headers, stops)
+        parts = j.withColumn("x", F.expr(f"element_at(transform(array(norm), n -> struct({segment} as segment, {rest} as rest)), 1)"))
+        outside = predict(parts.where("x.segment <> ''").select(key, F.col("x.rest").alias("rest")), dictionary, key, "rest", chain.whole_words).withColumnRenamed("codes", "outside")
+        inside = predict(parts.where("x.segment <> ''").select(key, F.col("x.segment").alias("segment")), dictionary, key, "segment", chain.whole_words).withColumnRenamed("codes", "inside")
+        only = F.array_except(F.coalesce("inside", none), F.coalesce("outside", none))
+        j = parts.join(outside, key, "left").join(inside, key, "left").withColumn("now", F.when(F.col("x.segment") == "", F.col("now")).otherwise(F.array_union(F.array_except("now", only), F.array(F.lit(flag)))))
+    if chain.negations:
+        j = j.join(negation_filter(j.select(key, text, "now"), list(chain.negations), chain.window, key, text, "now").withColumnRenamed("now", "kept"), key).withColumn("now", F.col("kept"))
+    out = j.select(key, F.explode("now").alias("code"))
+    if chain.fuzzy is not None and descriptions is not None:
+        covered = dictionary.select(F.explode("codes").alias("code"))
+        out = out.unionByName(fuzzy_fallback(texts, descriptions, chain.fuzzy, key, text, covered))
+    return out.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
 def coverage(gold: DataFrame, predicted: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: documents, documents with a prediction, labels, labels predicted, both ratios to four digits."""
     docs = gold.select("record_id").distinct()
     n = docs.join(predicted.where(F.size("codes") > 0).select("record_id").distinct().withColumn("p", F.lit(1)), "record_id", "left").agg(F.count("*").alias("documents"), F.count("p").alias("predicted"))
     c = labels.select("code").distinct().join(predicted.select(F.explode("codes").alias("code")).distinct().withColumn("p", F.lit(1)), "code", "left").agg(F.count("*").alias("labels"), F.count("p").alias("labels_predicted"))
     return n.join(F.broadcast(c)).select("*", F.round(L.ratio(F.col("predicted"), F.col("documents")), 4).alias("document_coverage"), F.round(L.ratio(F.col("labels_predicted"), F.col("labels")), 4).alias("label_coverage"))
+
+
+def coverage_codes(predicted: DataFrame, labels: DataFrame, top: int = 20) -> DataFrame:
+    """kind (predicted, missing), code, documents: the codes predicted most often, ties by code, and the labels that no document has."""
+    n = predicted.select("record_id", F.explode("codes").alias("code")).distinct().groupBy("code").agg(F.count("*").alias("documents"))
+    first = n.orderBy(F.desc("documents"), "code").limit(top).select(F.lit("predicted").alias("kind"), "code", "documents")
+    missing = labels.select("code").distinct().join(n, "code", "left_anti").select(F.lit("missing").alias("kind"), "code", F.lit(0).cast("bigint").alias("documents"))
+    return first.unionByName(missing)

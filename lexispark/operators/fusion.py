@@ -151,13 +151,16 @@ def label_routing(scores: DataFrame, champions: DataFrame, cut: float = 1.0) ->
     return scores.join(F.broadcast(champions), ["code", "system_name"]).where(_at_least(F.col("score"), cut)).select(*CELL)
 
 
-def champion_plus_vote(scores: DataFrame, champions: DataFrame, others: int, cuts: dict[str, float]) -> DataFrame:
-    """Cells that the label's champion or at least `others` other systems (one at least) vote for."""
-    c = scores.join(F.broadcast(champions.withColumnRenamed("system_name", "champion")), "code", "left")
+def champion_plus_vote(scores: DataFrame, champions: DataFrame, others: int, cuts: dict[str, float], systems: list[str]) -> DataFrame:
+    """Cells that the label's champion or at least `others` other systems vote for; `others` is put between one and all but one of the systems.
+
+    A label without a champion has the first system.
+    """
+    c = scores.join(F.broadcast(champions.withColumnRenamed("system_name", "champion")), "code", "left").withColumn("champion", F.coalesce("champion", F.lit(systems[0])))
     vote = F.col("score") >= by_system(cuts, 1.0)
     own = F.col("system_name") == F.col("champion")
-    s = c.groupBy(*CELL).agg(F.max((vote & own).cast("int")).alias("own"), F.count_if(vote & ~F.coalesce(own, F.lit(False))).alias("n"))
-    return s.where((F.col("own") == 1) | (F.col("n") >= max(1, others))).select(*CELL)
+    s = c.groupBy(*CELL).agg(F.max((vote & own).cast("int")).alias("own"), F.count_if(vote & ~own).alias("n"))
+    return s.where((F.col("own") == 1) | (F.col("n") >= max(1, min(others, len(systems) - 1)))).select(*CELL)
 
 
 def record_champions(scores: DataFrame, policy: str = "max", labels: int = 1) -> DataFrame:
@@ -172,13 +175,35 @@ def record_routing(scores: DataFrame, champions: DataFrame, cut: float = 1.0) ->
     return scores.join(champions, ["record_id", "system_name"]).where(_at_least(F.col("score"), cut)).select(*CELL)
 
 
-def correction(scores: DataFrame, base: str, votes: int, factor: float, remove: bool, cuts: dict[str, float]) -> DataFrame:
-    """The base system's codes, with cells added that enough others vote for at a cut times a factor, and codes without any other vote removed on demand."""
-    cut = by_system(cuts, 1.0)
+def correction_votes(scores: DataFrame, base: str, factors: list[float], binary: list[str]) -> DataFrame:
+    """record_id, code, own, votes: whether the base system has the cell, and for each factor how many others vote for it.
+
+    A score system votes from the factor on, a binary one from 0.5 on whatever the factor. All factors are counted in one aggregation.
+    """
+    two = F.col("system_name").isin(binary)
     own = F.col("system_name") == base
-    s = scores.groupBy(*CELL).agg(F.count_if(own & (F.col("score") >= cut)).alias("own"), F.count_if(~own & _at_least(F.col("score"), cut * factor)).alias("add"), F.count_if(~own & (F.col("score") >= cut)).alias("other"))
-    keep = (F.col("own") > 0) & ((F.col("other") > 0) if remove else F.lit(True))
-    return s.where(keep | (F.col("add") >= votes)).select(*CELL)
+    has = _at_least(F.col("score"), F.when(two, 0.5).otherwise(1.0))
+    votes = F.array(*[F.count_if(~own & _at_least(F.col("score"), F.when(two, 0.5).otherwise(float(f)))) for f in factors])
+    return scores.groupBy(*CELL).agg((F.count_if(own & has) > 0).alias("own"), votes.alias("votes"))
+
+
+def corrected(own: Column, n: Column, votes: Column | int, remove: Column | bool) -> Column:
+    """Whether a cell is in the corrected set: the base's own unless it is to go for want of any vote, others' with enough votes."""
+    gone = (F.lit(remove) if isinstance(remove, bool) else remove) & (n == 0)
+    return (own & ~gone) | (~own & (n >= votes))
+
+
+def correction(scores: DataFrame, base: str, votes: int, factor: float, remove: bool, binary: list[str]) -> DataFrame:
+    """The base system's codes, with cells added that enough others vote for at the factor, and on demand without those that no other votes for at it."""
+    c = correction_votes(scores, base, [factor], binary)
+    return c.where(corrected(F.col("own"), F.col("votes")[0], votes, remove)).select(*CELL)
+
+
+def correction_grid(scores: DataFrame, base: str, votes: list[int], factors: list[float], binary: list[str]) -> DataFrame:
+    """votes, factor, remove, record_id, code of every point of the grid: the cells are counted once and spread over the points they belong to."""
+    c = correction_votes(scores, base, factors, binary)
+    points = F.array(*[F.struct(F.lit(v).alias("votes"), F.lit(float(f)).alias("factor"), F.lit(int(r)).alias("remove"), corrected(F.col("own"), F.col("votes")[i], v, r).alias("on")) for v in votes for i, f in enumerate(factors) for r in (False, True)])
+    return c.select(*CELL, F.explode(F.filter(points, lambda p: p.on)).alias("p")).select("p.votes", "p.factor", "p.remove", *CELL)
 
 
 def cluster_champions(clusters: DataFrame, scored: DataFrame, order: dict[str, int]) -> DataFrame:
@@ -195,6 +220,19 @@ def cluster_routing(preds: DataFrame, clusters: DataFrame, champions: DataFrame,
     return preds.join(route, ["record_id", "system_name"]).select(*CELL)
 
 
+def replay(scores: DataFrame, strategies: dict[str, tuple[str, dict]], compositions: list[Composition] = ()) -> DataFrame:
+    """strategy, record_id, code: base strategies of the registry with their parameters, and compositions of them, over the same scores.
+
+    strategies: slug -> (name in STRATEGIES, parameters). A composition that lacks an input is left out. One plan; write it partitioned by strategy.
+    """
+    base = {slug: STRATEGIES[name](scores, **params) for slug, (name, params) in strategies.items()}
+    every = dict(base)
+    for c in compositions:
+        if (p := compose(c, every)) is not None:
+            every[c.slug] = p
+    return reduce(DataFrame.unionByName, [p.select(F.lit(slug).alias("strategy"), *CELL) for slug, p in every.items()])
+
+
 #: Base strategies by slug; each is a function of scores and parameters, so it replays on any split.
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "weighted": weighted, "weighted_gated": gated_secondary, "weighted_top_k": weighted_top_k, "weighted_freq_buckets": frequency_buckets, "weighted_two_threshold": two_threshold,

@@ -167,7 +167,53 @@ def description_lookup(s, d):
 
 @C.add("fuzzy_fallback")
 def fuzzy_fallback(s, d):
+    """Descriptions of the codes without any term, over whole texts."""
     c = table(s, d, "code_lookup").select("code", F.col("greek_description").alias("description"))
-    # whole texts, less the codes that the dictionary already finds
-    done = coded(s, d).select("record_id", F.explode("codes").alias("code"))
-    return D.fuzzy_fallback(V.records(s, d), c).join(done, ["record_id", "code"], "left_anti")
+    # half the terms only, lest no code be without one
+    terms = dictionary(s, d).where("substring(md5(term), 1, 1) < '8'")
+    return D.fuzzy_fallback(V.records(s, d), c, covered=terms.select(F.explode("codes").alias("code")))
+
+
+CHAIN = D.Chain(boosts=tuple(BOOSTS), rules=tuple(RULES), section=(FAMILY, STOPS, "FAM"), negations=tuple(PAIRS))
+_A = "".join(f" union select record_id, c from nt cross join (values {', '.join('(' + repr(c) + ')' for c in add)}) v(c) where " + " or ".join(f"contains(norm, '{p}')" for p in pats) for pats, add in BOOSTS)
+_AR, _AL = _rules_sql(RULES)
+_words = lambda c: f"' ' || trim(regexp_replace({c}, ' +', ' ', 'g')) || ' '"
+
+
+@C.add(
+    "dictionary_predict",
+    MATCH
+    + ", a0 as (select record_id, code from mc"
+    + _A
+    + ")"
+    + _AR.replace(" from mc ", " from a0 ").replace("from mc where", "from a0 where").replace("from mc union", "from a0 union")
+    + f""", s1 as (select record_id, norm, strpos(norm, '{FAMILY[0]}') as h from nt where norm <> ''), s2 as (select *, case when h = 0 then '' else norm[h:] end as tail from s1),
+s3 as (select *, least({', '.join(f"case when strpos(tail, '{x}') = 0 then 1000000000 else strpos(tail, '{x}') - 1 end" for x in STOPS)}) as e from s2),
+s4 as (select record_id, tail[:e] as seg, norm[:h - 1] || tail[e + 1:] as rest from s3 where h > 0),
+ins as (select distinct record_id, code from s4 join di on contains({_words('seg')}, ' ' || term || ' ')), outs as (select distinct record_id, code from s4 join di on contains({_words('rest')}, ' ' || term || ' ')),
+a5 as (select * from {_AL} except (select * from ins except select * from outs)), a6 as (select * from a5 union select record_id, 'FAM' from s4),
+tk as (select record_id, string_split(norm, ' ') as tokens from nt),
+a7 as (select a6.record_id, a6.code from a6 join tk using (record_id) where not ("""
+    + ") and not (".join(f"code in ({', '.join(repr(c) for c in codes)}) and {_near(n, dis)}" for n, dis, codes in PAIRS)
+    + ")) select record_id, string_agg(code, '|' order by code) as codes from a7 group by all",
+)
+def dictionary_predict(s, d):
+    return D.predict_chain(V.records(s, d), dictionary(s, d), CHAIN).select("record_id", F.array_join("codes", "|").alias("codes"))
+
+
+@C.add(
+    "dictionary_candidates",
+    DICT
+    + f", ca as (select term, code from di union select {V.norm_sql('greek_description')}, code from code_lookup where greek_description is not null) select term, string_agg(code, '|' order by code) as codes from (select distinct term, code from ca where term <> '' and term <> 'πυρετοσ' and code in (select code from labelset)) group by term",
+)
+def dictionary_candidates(s, d):
+    c = table(s, d, "code_lookup").select("code", F.col("greek_description").alias("description"))
+    return D.candidates(dictionary(s, d), c, table(s, d, "labelset"), ["πυρετοσ"]).select("term", F.array_join("codes", "|").alias("codes"))
+
+
+@C.add(
+    "coverage_codes",
+    MATCH + ", n as (select code, count(*) as documents from mc group by code) select 'predicted' as kind, code, documents from (select * from n order by documents desc, code limit 20) union all select 'missing', code, 0 from (select distinct code from labelset) where code not in (select code from n)",
+)
+def coverage_codes(s, d):
+    return D.coverage_codes(coded(s, d), table(s, d, "labelset"))

@@ -112,9 +112,9 @@ def label_routing(s, d):
     return U.label_routing(V.scores(s, d), _champions(s, d), 0.9)
 
 
-@C.add("champion_plus_vote", CHAMP + f", v as (select sc.*, champion, score >= {_cut} as vote from sc left join champ using (code)) select record_id, code from v group by all having count(*) filter (vote and system_name = champion) > 0 or count(*) filter (vote and system_name is distinct from champion) >= 2")
+@C.add("champion_plus_vote", CHAMP + f", v as (select sc.*, coalesce(champion, 'sys_dict') as champion, score >= {_cut} as vote from sc left join champ using (code)) select record_id, code from v group by all having count(*) filter (vote and system_name = champion) > 0 or count(*) filter (vote and system_name is distinct from champion) >= 2")
 def champion_plus_vote(s, d):
-    return U.champion_plus_vote(V.scores(s, d), _champions(s, d), 2, CUT)
+    return U.champion_plus_vote(V.scores(s, d), _champions(s, d), 2, CUT, list(V.SYSTEMS))
 
 
 @C.add("record_routing", V.SCORES + ", m as (select record_id, system_name, system_ix, round(max(score), 9) as s from sc group by all), r as (select record_id, system_name from m qualify row_number() over (partition by record_id order by s desc, system_ix) = 1) select record_id, code from sc join r using (record_id, system_name) where round(score, 9) >= 1")
@@ -123,31 +123,50 @@ def record_routing(s, d):
     return U.record_routing(sc, U.record_champions(sc, "max"))
 
 
-COR = V.SCORES + f", x as (select record_id, code, count(*) filter (system_name = 'sys_net' and score >= {_cut}) as own, count(*) filter (system_name <> 'sys_net' and round(score, 9) >= round({_cut} * 0.9::double, 9)) as n, count(*) filter (system_name <> 'sys_net' and score >= {_cut}) as other from sc group by all) "
+BINARY = ["sys_dict", "sys_link"]
+FACTORS = [0.8, 1.0, 1.2, 1.5]
+# the base has a cell from 1 (a binary one 0.5) on; the others vote from the factor on, binary ones from 0.5 on; one count of votes adds and removes
+COR = V.SCORES + """, f(f) as (values (0.8::double), (0.9::double), (1.0::double), (1.2::double), (1.5::double)),
+x as (select f, record_id, code, count(*) filter (system_name = 'sys_net' and round(score, 9) >= 1) > 0 as own, count(*) filter (system_name <> 'sys_net' and round(score, 9) >= case when system_ix < 2 then 0.5 else f end) as n from sc cross join f group by all) """
 
 
-@C.add("correction", COR + OUT + "x where (own > 0 and other > 0) or n >= 2")
+@C.add("correction", COR + OUT + "x where f = 0.9 and ((own and n > 0) or (not own and n >= 2))")
 def correction(s, d):
-    return U.correction(V.scores(s, d), "sys_net", 2, 0.9, True, CUT)
+    return U.correction(V.scores(s, d), "sys_net", 2, 0.9, True, BINARY)
 
 
 @C.add(
     "correction_grid",
     COR
-    + f""", g as (select p.v, p.r, record_id, code from x cross join (values (1, 0), (2, 0), (3, 0), (1, 1), (2, 1), (3, 1)) p(v, r) where (own > 0 and (r = 0 or other > 0)) or n >= v),
-tp as (select v, r, count(*) as tp from (select distinct g.v, g.r, gl.record_id, gl.ix from g join gl using (record_id, code)) group by all),
-fp as (select v, r, count(*) as fp from g where not exists (select 1 from gl where gl.record_id = g.record_id and gl.code = g.code) group by all)
-select v as votes, r as remove, tp, fp, round(2 * tp / (tp + fp + (select sum(n_groups) from docs))::double, 6) as f1 from tp join fp using (v, r)""",
+    + """, g as (select p.v, f, p.r, record_id, code from x cross join (values (1, 0), (2, 0), (3, 0), (1, 1), (2, 1), (3, 1)) p(v, r) where f <> 0.9 and case when own then r = 0 or n > 0 else n >= v end),
+tp as (select v, f, r, count(*) as tp from (select distinct g.v, g.f, g.r, gl.record_id, gl.ix from g join gl using (record_id, code)) group by all),
+fp as (select v, f, r, count(*) as fp from g where not exists (select 1 from gl where gl.record_id = g.record_id and gl.code = g.code) group by all)
+select v as votes, f as factor, r as remove, tp, fp, round(2 * tp / (tp + fp + (select sum(n_groups) from docs))::double, 6) as f1 from tp join fp using (v, f, r)""",
 )
 def correction_grid(s, d):
-    sc = V.scores(s, d)
-    parts = [U.correction(sc, "sys_net", v, 0.9, bool(r), CUT).withColumn("system_name", F.lit(f"{v},{r}")) for r in (0, 1) for v in (1, 2, 3)]
-    p = parts[0]
-    for x in parts[1:]:
-        p = p.unionByName(x)
-    m = S.micro(V.gold(s, d), p.groupBy("system_name", "record_id").agg(F.collect_set("code").alias("codes")))
-    k = F.split("system_name", ",")
-    return m.select(k[0].cast("int").alias("votes"), k[1].cast("int").alias("remove"), "tp", "fp", F.round("f1", 6).alias("f1"))
+    g = U.correction_grid(V.scores(s, d), "sys_net", [1, 2, 3], FACTORS, BINARY)
+    p = g.groupBy("votes", "factor", "remove", "record_id").agg(F.collect_set("code").alias("codes")).withColumn("system_name", F.struct("votes", "factor", "remove"))
+    m = S.micro(V.gold(s, d), p)
+    return m.select("system_name.votes", "system_name.factor", "system_name.remove", "tp", "fp", F.round("f1", 6).alias("f1"))
+
+
+REPLAY = {"weighted": ("weighted", {"weights": W, "cuts": CUT, "gate": GATE}), "corrected": ("correction", {"base": "sys_net", "votes": 2, "factor": 0.9, "remove": True, "binary": BINARY}), "two_threshold": ("weighted_two_threshold", {"weights": W, "cuts": CUT, "gate": 0.9})}
+
+
+@C.add(
+    "export_replay",
+    VOTES
+    + f""", f(f) as (values (0.9::double)), x as (select f, record_id, code, count(*) filter (system_name = 'sys_net' and round(score, 9) >= 1) > 0 as own, count(*) filter (system_name <> 'sys_net' and round(score, 9) >= case when system_ix < 2 then 0.5 else f end) as n from sc cross join f group by all),
+b as (select 'weighted' as strategy, record_id, code from cb where weight >= {GATE} union all select 'corrected', record_id, code from x where (own and n > 0) or (not own and n >= 2)
+union all select 'two_threshold', record_id, code from cb where weight >= 0.9 or (weight >= round(0.9 * 0.72::double, 9) and votes >= 3)),
+e as (select * from b union all select 'both', record_id, code from b where strategy in ('weighted', 'corrected') group by record_id, code having count(*) = 2)
+select split, strategy, record_id, code from e join (select record_id, split from docs) using (record_id) where split in ('val', 'test')""",
+)
+def export_replay(s, d):
+    both = U.parse_compositions([{"slug": "both", "op": "intersection", "inputs": ["weighted", "corrected"]}, {"slug": "none", "op": "union", "inputs": ["weighted", "absent"]}])
+    split = V.gold(s, d).where("split in ('val', 'test')").select("record_id", "split")
+    sc = V.scores(s, d).join(split.select("record_id"), "record_id", "left_semi")
+    return U.replay(sc, REPLAY, both).join(split, "record_id").select("split", "strategy", "record_id", "code")
 
 
 @C.add(

@@ -26,8 +26,11 @@ CUT = """, cu0 as (select *, max(score) over (partition by record_id) as best fr
 
 
 def corpus(s, d):
+    from .staging import stage
+
     look = table(s, d, "code_lookup").where("greek_description <> ''").groupBy("code").agg(F.min("greek_description").alias("description"))
-    return R.code_documents(table(s, d, "labelset").join(F.broadcast(look), "code", "left"), R.mention_phrases(V.mentions(s, d)))
+    c = R.code_documents(table(s, d, "labelset").join(F.broadcast(look), "code", "left"), R.mention_phrases(V.mentions(s, d)))
+    return stage(c, "code-corpus")  # one row for each label, used by every channel
 
 
 def queries(s, d):
@@ -82,8 +85,7 @@ def dense_topk(s, d):
 select record_id, code, round(score, 6) as score, row_number() over (partition by record_id order by round(score, 9) desc, ra nulls last, rb nulls first) as rank from j qualify rank <= 15""",
 )
 def rrf_hybrid(s, d):
-    c, q = corpus(s, d), queries(s, d)
-    return _out(R.rrf(R.bm25(c, q, 20), R.tfidf(c, q, 20), 15))
+    return _out(R.retrieve("hybrid", corpus(s, d), queries(s, d), 15))
 
 
 @C.add("relative_cut", BM25 + CUT + "select record_id, code, round(score, 6) as score, rank from cu")

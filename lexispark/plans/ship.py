@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-from .staging import shared_dir
+from .staging import run_dir
 
 _shipped: set[str] = set()
 
@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = shared_dir(spark).removeprefix("file://")
+    folder = run_dir(spark).removeprefix("file://")
     if "://" in folder or not os.path.isdir(os.path.dirname(folder) or "/"):
         return  # a remote store: the package has to be installed on the executors
     os.makedirs(folder, exist_ok=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,13 +14,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 _local: list[str] = []
+#: Folder of each application for what it stages; removed when its Python ends.
+_runs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only on a local master where that is unset, elsewhere an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not (spark.conf.get("spark.master", "local") or "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _local:
         d = tempfile.TemporaryDirectory(prefix="lexispark-")
         atexit.register(d.cleanup)
@@ -27,9 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one. It goes when the driver's Python ends: staged tables live as long as the frames that read them."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{shared_dir(spark)}/staged-{app}"
+        atexit.register(_remove, spark, _runs[app])
+    return _runs[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's file system, or by its path if the session is already gone."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended
+        if "://" not in path or path.startswith("file://"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and return a frame that reads it: cuts the lineage, needs no cache."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

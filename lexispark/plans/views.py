@@ -32,9 +32,15 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "mentions").where("mention_id is not null").dropDuplicates(["mention_id"])
 
 
+#: Labels of a space that one expression spells out.
+LABELS = 10_000
+
+
 def labels(spark: SparkSession, d: str) -> list[str]:
-    """The label space in its order; a fixed dimension of at most a few thousand codes."""
-    rows = table(spark, d, "labelset").select("label_ix", F.trim("code").alias("code")).where("code <> ''").orderBy("label_ix").limit(10_000).collect()
+    """The label space in its order; a fixed dimension; more than LABELS codes are an error."""
+    rows = table(spark, d, "labelset").select("label_ix", F.trim("code").alias("code")).where("code <> ''").orderBy("label_ix").limit(LABELS + 1).collect()
+    if len(rows) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
     return [r["code"] for r in rows]
 
 
