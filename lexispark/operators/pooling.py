@@ -45,6 +45,31 @@ def class_weights(gold: DataFrame, labels: DataFrame, low: float = 1.0, high: fl
     return labels.select("code").distinct().join(F.broadcast(pos), "code", "left").na.fill(0, ["pos"]).join(F.broadcast(n)).select("code", "pos", F.least(F.greatest(w, F.lit(low)), F.lit(high)).alias("weight"))
 
 
+def label_class_weights(gold: DataFrame, labels: DataFrame, low: float = 1.0, high: float = 20.0) -> DataFrame:
+    """code, pos, weight: as class_weights, but a label without positives weighs N before the bounds."""
+    n = gold.agg(F.count("*").alias("n"))
+    w = class_weights(gold, labels, float("-inf"), float("inf")).join(F.broadcast(n))
+    return w.select("code", "pos", F.least(F.greatest(F.when(F.col("pos") == 0, F.col("n")).otherwise(F.col("weight")), F.lit(low)), F.lit(high)).alias("weight"))
+
+
+def average_thresholds(folds: DataFrame) -> DataFrame:
+    """code, threshold averaged over folds (fold, code, threshold)."""
+    return folds.groupBy("code").agg(F.avg("threshold").alias("threshold"), F.count("*").alias("folds"))
+
+
+def rank_loss(cells: DataFrame) -> DataFrame:
+    """record_id, loss of logits (record_id, logit, y): log(1 + sum of exp(-logit) over positives) + log(1 + sum of exp(logit) over negatives)."""
+    up = F.coalesce(F.sum(F.when(F.col("y") == 1, F.exp(-F.col("logit")))), F.lit(0.0))
+    down = F.coalesce(F.sum(F.when(F.col("y") == 0, F.exp(F.col("logit")))), F.lit(0.0))
+    return cells.groupBy("record_id").agg((F.log1p(up) + F.log1p(down)).alias("loss"))
+
+
+def cosine_schedule(step: Column, warmup: int, total: int) -> Column:
+    """Factor of the learning rate: rising in proportion up to `warmup` steps, then half a cosine down to 0."""
+    share = (step - warmup) / F.lit(float(max(1, total - warmup)))
+    return F.when(step < warmup, step / F.lit(float(max(1, warmup)))).otherwise(F.greatest(F.lit(0.0), 0.5 * (1 + F.cos(F.lit(3.141592653589793) * share))))
+
+
 def losses(cells: DataFrame, gamma_neg: float = 4.0, gamma_pos: float = 1.0, clip: float = 0.05) -> DataFrame:
     """One row: mean binary cross entropy and asymmetric loss of cells (score, y)."""
     p = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))

@@ -35,24 +35,29 @@ def validation(mentions: DataFrame, texts: DataFrame) -> DataFrame:
     return j.agg(F.countDistinct("record_id").alias("documents"), F.count("mention_id").alias("mentions"), F.countDistinct("code").alias("codes"), F.count_if(bad).alias("invalid"))
 
 
+class _Plain(dict):
+    """What each character is in normalized text: letters without accents, digits, or a space."""
+
+    def __missing__(self, ch: str) -> str:
+        plain = [c for c in unicodedata.normalize("NFD", ch.lower()) if unicodedata.category(c) != "Mn"]
+        self[ch] = out = "".join("σ" if c == "ς" else c if "a" <= c <= "z" or "0" <= c <= "9" or "α" <= c <= "ω" else " " for c in plain)
+        return out
+
+
+_PLAIN = _Plain()
+
+
 def char_map(text: str) -> tuple[str, list[int]]:
     """A text normalized character by character, and for each of its characters the index of the original one."""
-    out: list[str] = []
-    at: list[int] = []
-    for i, ch in enumerate(text):
-        for c in unicodedata.normalize("NFD", ch.lower()):
-            if unicodedata.category(c) == "Mn":
-                continue
-            c = "σ" if c == "ς" else c
-            keep = c if re.match("[a-z0-9α-ω]", c) else " "
-            if keep == " " and (not out or out[-1] == " "):
-                continue
-            out.append(keep)
-            at.append(i)
-    if out and out[-1] == " ":
-        out.pop()
-        at.pop()
-    return "".join(out), at
+    parts = [_PLAIN[c] for c in text]
+    whole = "".join(parts)
+    at = range(len(text)) if len(whole) == len(text) else [i for i, p in enumerate(parts) for _ in p]
+    # one space stays of each run, none at the ends
+    keep = [m.span() for m in WORD_OR_SPACE.finditer(whole.rstrip(" "), len(whole) - len(whole.lstrip(" ")))]
+    return "".join(whole[a : a + 1] if whole[a] == " " else whole[a:b] for a, b in keep), [at[k] for a, b in keep for k in (range(a, a + 1) if whole[a] == " " else range(a, b))]
+
+
+WORD_OR_SPACE = re.compile(" +|[^ ]+")
 
 
 def dictionary_spans(text: str, automaton, words_only: bool = True) -> list[tuple[int, int, str]]:
@@ -213,6 +218,31 @@ def token_scores(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return s.withColumn("f1", L.f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def entity_scores(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: tp, fp, fn, precision, recall, F1 of entities of BIO labels in the strict sense: an entity opens with B only, goes on with I, and counts if both its ends agree."""
+
+    def entities(labels: DataFrame) -> DataFrame:
+        w = W.partitionBy("record_id").orderBy("token_ix")
+        x = labels.withColumn("run", F.sum((F.col("label") != "I").cast("int")).over(w))
+        e = x.groupBy("record_id", "run").agg(F.min("token_ix").alias("span_start"), F.max("token_ix").alias("span_end"), F.min_by("label", "token_ix").alias("first"))
+        return e.where("first = 'B'").select("record_id", "span_start", "span_end")
+
+    return span_scores(entities(pred), entities(gold))
+
+
+def pipeline(texts: DataFrame, model: DataFrame, dictionary: DataFrame, priors: DataFrame, similarity: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Mentions (record_id, span_start, span_end, mention, code) and codes (record_id, codes) of texts: model spans, fused with the dictionary's by containment, linked.
+
+    model: record_id, span_start, span_end of whatever tagger; texts: record_id, text.
+    """
+    fused = merged(model, extract(texts, dictionary).select("record_id", "span_start", "span_end"))
+    cut = F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
+    # spans are told apart by a hash of their place
+    named = fused.join(texts.select("record_id", "text"), "record_id").select("record_id", "span_start", "span_end", cut.alias("mention"), F.xxhash64("record_id", "span_start", "span_end").alias("mention_id"))
+    linked = named.join(link(named, priors, dictionary, similarity).select("mention_id", "code"), "mention_id", "left")
+    return linked.select("record_id", "span_start", "span_end", "mention", "code"), record_codes(linked.where("code is not null"))
+
+
 TAGS = ("O", "B", "I")
 
 

@@ -50,7 +50,12 @@ def gold_with_dictionary(s, d):
     return P.with_dictionary(_gold(s, d), _extra(s, d))
 
 
-@C.add("span_containment_merge")
+@C.add(
+    "span_containment_merge",
+    VALID
+    + """, ax as (select * from es e where not exists (select 1 from gs g where g.record_id = e.record_id and g.span_start <= e.span_start and g.span_end >= e.span_end) and not exists (select 1 from es f where f.record_id = e.record_id and f.span_start <= e.span_start and f.span_end >= e.span_end and (f.span_start <> e.span_start or f.span_end <> e.span_end)))
+select * from ax union all select * from gs g where not exists (select 1 from ax where ax.record_id = g.record_id and ax.span_start <= g.span_start and ax.span_end >= g.span_end)""",
+)
 def span_containment_merge(s, d):
     return P.merged(_gold(s, d), _extra(s, d))
 
@@ -117,7 +122,8 @@ def mention_codes(s, d):
     return P.record_codes(_gold(s, d).where("code is not null")).select("record_id", F.array_join("codes", "|").alias("codes"))
 
 
-@C.add("viterbi_decode")
+# each token's own label scores most and the labels allow each other: the best path is the labels
+@C.add("viterbi_decode", BIO + "select record_id, token_ix::int as token_ix, label from bio")
 def viterbi_decode(s, d):
     b = P.bio(V.records(s, d), _gold(s, d))
     e = b.select("record_id", "token_ix", *[F.when(F.col("label") == t, 1.0).otherwise((F.col("token_ix") % 5) / 10.0).alias(t.lower()) for t in P.TAGS])
