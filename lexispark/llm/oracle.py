@@ -33,3 +33,8 @@ union select distinct doc_id, {words(_WHOLE)} as w from documents where doc_id i
 b as (select distinct item_id, {words('text')} as w from benchmark where item_id is not null and text <> ''),
 x as ({runs('d', 'doc_id', 12)}), y as ({runs('b', 'item_id', 12)})
 select distinct item_id, doc_id from x join y using (run)"""
+
+P4_SEQUENCES = r"""with once as (select record_id, coalesce(any_value(labels_flat), any_value(flatten(list_filter(document_level_annotations, lambda g: g is not null)))) as l from records where record_id is not null group by record_id),
+c as (select record_id, list_filter(list_transform(list_filter(l, lambda x: x is not null), lambda x: upper(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '') as c from once where l is not null),
+g as (select record_id, c[i] || ' ' || c[i + 1] as codes from (select record_id, c, unnest(range(1, greatest(len(c), 1))) as i from c))
+select codes, count(*) as occurrences, count(distinct record_id) as records from g group by codes"""

@@ -58,7 +58,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 def _code_marks(spark: SparkSession, d: str) -> DataFrame:
     from .termcount import code_marks
 
-    return code_marks(table(spark, d, "records"), table(spark, d, "label_frequency"))
+    return code_marks(table(spark, d, "records"), table(spark, d, "label_frequency"), longest=1)
 
 
 @LLM.add("p4_found", termcount.FOUND_SQL)
@@ -71,6 +71,13 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return _code_marks(spark, d).where("records > 0").select("code", "occurrences", "records")
 
 
+@LLM.add("p4_sequences", oracle.P4_SEQUENCES)
+def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring codes of a record as terms of two."""
+    g = termcount.gram_counts(termcount.record_codes(table(spark, d, "records")), "codes", 2).where("n = 2")
+    return g.select(F.array_join("gram", " ").alias("codes"), "occurrences", "records")
+
+
 @LLM.add("p5_found", cooccur.FOUND_SQL)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.code_pairs(table(spark, d, "records"))

@@ -127,7 +127,7 @@ def record_codes(records: DataFrame) -> DataFrame:
     return records.where("record_id is not null").select("record_id", codes.alias("codes")).groupBy("record_id").agg(F.first("codes", ignorenulls=True).alias("codes"))
 
 
-def code_marks(records: DataFrame, frequencies: DataFrame, longest: int = 2, rare: int = 3, common: float = 0.2) -> DataFrame:
+def code_marks(records: DataFrame, frequencies: DataFrame, longest: int = 1, rare: int = 3, common: float = 0.2) -> DataFrame:
     """code, occurrences, records, mark for every code of the records or of the older report: rare, common or null.
 
     A code of the report that no record holds has zero counts and is rare. Without any record with a code, no code is common.
