@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.text import normalize_text
+from ..functions.text import let, normalize_text
 
 
 def parse(mentions: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,11 +195,14 @@ def bio(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
     A token belongs to a span if it lies wholly inside.
     """
-    t = texts.where("text <> ''").select("record_id", F.explode(token_offsets(F.col("text"))).alias("t")).select("record_id", F.col("t.ix").alias("token_ix"), F.col("t.start").alias("s"), F.col("t.end").alias("e"))
-    j = t.join(spans.select("record_id", "span_start", "span_end").distinct(), "record_id", "left").withColumn("inside", F.col("s").between(F.col("span_start"), F.col("span_end")) & (F.col("e") <= F.col("span_end")))
-    own = j.groupBy("record_id", "token_ix", "s").agg(F.min(F.when(F.col("inside"), F.struct(F.col("span_start").alias("a"), (-F.col("span_end")).alias("b")))).alias("span"))
-    before = F.lag("span").over(W.partitionBy("record_id").orderBy("token_ix"))
-    return own.select("record_id", "token_ix", F.when(F.col("span").isNull(), "O").when(before.isNull() | (before != F.col("span")), "B").otherwise("I").alias("label"))
+    # a record's spans come to its tokens as one array, the first one around a token is its own: no row for a pair of token and span
+    span = F.struct("span_start", (-F.col("span_end")).alias("k"))
+    s = spans.select("record_id", "span_start", "span_end").distinct().groupBy("record_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    j = texts.where("text <> ''").select("record_id", token_offsets(F.col("text")).alias("tokens")).join(s, "record_id", "left")
+    own = F.transform("tokens", lambda t: F.get(F.filter("spans", lambda x: (x.span_start <= t.start) & (-x.k >= t.end)), F.lit(0)))
+    before = lambda o, i: F.when(i > 0, F.get(o, i - 1))
+    labels = let(own, lambda o: F.transform(o, lambda x, i: F.when(x.isNull(), "O").when(before(o, i).isNull() | (before(o, i) != x), "B").otherwise("I")))
+    return j.select("record_id", F.posexplode(labels).alias("token_ix", "label"))
 
 
 def decode(labels: DataFrame) -> DataFrame:

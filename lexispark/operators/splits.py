@@ -1,6 +1,6 @@
 """Splits with guarantees for rare labels, reports on them, folds, augmentation.
 
-Labels: (record_id, code), distinct. Rare-label placement runs on the driver over (label, documents) of labels in few documents only: at most four ids for each label, so
+Labels: (record_id, code), distinct. Forced placement runs on the driver over the first few documents of each label: as many as all placements can use up, so
 its input is bounded by the label space.
 """
 
@@ -15,45 +15,71 @@ def label_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("code").agg(F.countDistinct("record_id").alias("n"))
 
 
-def rare_placement(labels: DataFrame, most: int = 4, limit: int = 100_000) -> list[tuple[int, str, str]]:
-    """(record_id, split, code) of forced placements: labels by rising count and name; of one document it goes to train, of two to four one goes to
-    train and one to test. The document with most labels, then the highest id, is taken; a placed one stays where it is.
+def rare_placement(labels: DataFrame, limit: int = 5_000) -> list[tuple[int, str, str]]:
+    """(record_id, split, code) of forced placements: labels by rising count and name; of one document it goes to train, of two to four one goes to train and one to test,
+    of five or more one to each of train, val and test. The free document with most labels, then the highest id, is taken; without a free one a document that no single label binds moves.
+
+    An error if a rule can't be kept, and beyond `limit` labels: each label brings as many of its first documents as all placements together can use up, no more.
     """
     n = label_counts(labels)
-    rare = labels.join(F.broadcast(n.where(f"n <= {most}")), "code")
+    total = n.count()
+    if total > limit:
+        raise ValueError(f"more than {limit} labels")
     width = labels.groupBy("record_id").agg(F.count("*").alias("labels"))
-    rows = rare.join(width, "record_id").groupBy("code", "n").agg(F.collect_list(F.struct("labels", "record_id")).alias("docs")).orderBy("n", "code").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rare labels")
+    most = 3 * total + 3
+    order = [F.desc("labels"), F.desc("record_id")]
+    # the first documents of parts of a label, then of the label: a label of very many documents is no single task's window
+    part = W.partitionBy("code", F.pmod(F.xxhash64("record_id"), F.lit(64))).orderBy(*order)
+    rows = labels.join(width, "record_id").withColumn("k", F.row_number().over(part)).where(F.col("k") <= most)
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("code").orderBy(*order))).where(F.col("k") <= most)
+    docs: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.select("code", "labels", "record_id").collect():
+        docs.setdefault(r["code"], []).append((r["labels"], r["record_id"]))
+    counts = {r["code"]: r["n"] for r in n.collect()}
     placed: dict[int, str] = {}
-    out = []
-    for r in rows:
-        docs = sorted(((d["labels"], d["record_id"]) for d in r["docs"]), reverse=True)
-        for split in ("train",) if r["n"] == 1 else ("train", "test"):
-            if any(placed.get(i) == split for _, i in docs):
+    bound: set[int] = set()
+    out: list[tuple[int, str, str]] = []
+    for code in sorted(counts, key=lambda c: (counts[c], c)):
+        own = [i for _, i in sorted(docs[code], reverse=True)]
+        wanted = ("train",) if counts[code] == 1 else ("train", "test") if counts[code] < 5 else ("train", "val", "test")
+        for split in wanted:
+            if any(placed.get(i) == split for i in own):
                 continue
-            free = [i for _, i in docs if i not in placed]
-            if free:
-                placed[free[0]] = split
-                out.append((free[0], split, r["code"]))
-    return out
-
-
-def stratified(labels: DataFrame, test: float = 0.1, val: float = 0.1, seed: int = 42) -> DataFrame:
+            free = [i for i in own if i not in placed]
+            movable = [i for other in ("test", "val", "train") if other != split for i in own if placed.get(i) == other and i not in bound]
+            if not free and (not movable or split == "train"):
+                raise ValueError(f"label {code} can't be placed in {split}")
+            placed[(free or movable)[0]] = split
+            out.append(((free or movable)[0], split, code))
+        if counts[code] == 1:
+            bound.add(own[0])
+    last = {i: (i, s, c) for i, s, c in out}
+    return [x for x in out if last[x[0]] == x]
+
+
+def two_way(labels: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
+    """record_id, split (train, test) of two parts: records of labels with one document are forced to train, the others dealt out in proportion."""
+    single = labels.join(F.broadcast(label_counts(labels).where("n = 1")), "code").select("record_id").distinct().withColumn("forced", F.lit("train"))
+    r = stratified(labels, share, 0.0, seed, forced=False)
+    return r.join(single, "record_id", "left").select("record_id", F.coalesce("forced", "split").alias("split"))
+
+
+def stratified(labels: DataFrame, test: float = 0.1, val: float = 0.1, seed: int = 42, forced: bool = True) -> DataFrame:
     """record_id, split: forced rare placements, then records dealt out inside their rarest label, so that each label is spread in proportion.
 
     A record's stratum is its rarest label; inside a stratum records are numbered in hashed order and the numbers cut in the wanted shares.
     """
     spark = labels.sparkSession
-    forced = spark.createDataFrame([(i, s) for i, s, _ in rare_placement(labels)], "record_id bigint, forced string")
+    fixed = spark.createDataFrame([(i, s) for i, s, _ in rare_placement(labels)] if forced else [], "record_id bigint, forced string")
     stratum = labels.join(F.broadcast(label_counts(labels)), "code").groupBy("record_id").agg(F.min(F.struct("n", "code")).alias("s"))
     key = F.xxhash64("record_id", F.lit(seed))
-    w = W.partitionBy("s").orderBy(key, "record_id")
+    # a stratum is dealt out in 64 parts, so that a label of very many records is no single task's window
+    w = W.partitionBy("s", F.pmod(key, F.lit(64))).orderBy(key, "record_id")
     r = stratum.withColumn("k", F.row_number().over(w) - 1)
     # low-discrepancy: every 1/share-th number goes to the split
     share = lambda a: F.floor((F.col("k") + 1) * a) > F.floor(F.col("k") * a)
     dealt = F.when(share(test), "test").when(F.floor((F.col("k") + 4) * val) > F.floor((F.col("k") + 3) * val), "val").otherwise("train")
-    return r.join(F.broadcast(forced), "record_id", "left").select("record_id", F.coalesce("forced", dealt).alias("split"))
+    return r.join(fixed, "record_id", "left").select("record_id", F.coalesce("forced", dealt).alias("split"))
 
 
 def split_report(labels: DataFrame, splits: DataFrame) -> DataFrame:

@@ -99,27 +99,60 @@ def _move(rng: np.random.Generator, p: tuple[np.ndarray, np.ndarray, float], ste
     return w, t, g
 
 
-def chain(f: Objective, seed: int, budget: int, method: str) -> tuple[float, tuple[np.ndarray, np.ndarray, float]]:
-    """One sequential search: 'random', 'climb' (three quarters random, then steps of 0.08) or 'vns' (shakes of growing radius, each with a local search)."""
+def chain(f: Objective, seed: int, budget: int, method: str, local: int = 8) -> tuple[float, tuple[np.ndarray, np.ndarray, float]]:
+    """One sequential search: 'random', 'climb' (three quarters random, then steps of 0.08) or 'vns'.
+
+    vns: neighbourhoods 1 to 5 shake so many parameters of one block (weights, cuts, gate in turn), each shake is followed by a local search of at most `local` single steps; a gain
+    goes back to the first neighbourhood, a cycle without any starts anew from a random point. The best point of all is kept.
+    """
     rng = np.random.default_rng(seed)
     best = _start(rng, f.systems)
     value = f(*best)
-    radius = 1
-    for i in range(budget - 1):
-        if method == "random" or (method == "climb" and i < 0.75 * budget):
-            p = _start(rng, f.systems)
-        elif method == "climb":
-            p = _move(rng, best, 0.08, 1)
-        else:
-            p = _move(rng, best, 0.08 * radius, radius)
+    spent = 1
+    if method != "vns":
+        for i in range(budget - 1):
+            p = _start(rng, f.systems) if method == "random" or i < 0.75 * budget else _move(rng, best, 0.08, 1)
+            if (v := f(*p)) > value:
+                best, value = p, v
+        return value, best
+    here, at, radius = best, value, 1
+    while spent < budget:
+        p = _shake(rng, here, radius)
         v = f(*p)
-        if v > value:
-            best, value, radius = p, v, 1
+        spent += 1
+        for _ in range(min(local, budget - spent)):
+            q = _move(rng, p, 0.08, 1)
+            spent += 1
+            if (w := f(*q)) > v:
+                p, v = q, w
+        if v > at:
+            here, at, radius = p, v, 1
+        elif radius < 5:
+            radius += 1
         else:
-            radius = radius % 5 + 1
+            here = _start(rng, f.systems)
+            at, radius = f(*here), 1
+            spent += 1
+        if at > value:
+            best, value = here, at
     return value, best
 
 
+def _shake(rng: np.random.Generator, p: tuple[np.ndarray, np.ndarray, float], radius: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """As many parameters of one block as the radius, each moved by up to 0.08 times it."""
+    w, t, g = p[0].copy(), p[1].copy(), p[2]
+    block = (radius - 1) % 3
+    step = lambda n: rng.uniform(-0.08 * radius, 0.08 * radius, n)
+    some = rng.choice(len(w), min(radius, len(w)), replace=False)
+    if block == 0:
+        w[some] = np.clip(w[some] + step(len(some)), 0.0, 2.0)
+    elif block == 1:
+        t[some] = np.clip(t[some] + step(len(some)), 0.1, 3.0)
+    else:
+        g = float(np.clip(g + step(1)[0], 0.01, 3.0))
+    return w, t, g
+
+
 def search(matrix: DataFrame, systems: int, method: str = "vns", restarts: int = 4, budget: int = 200, seed: int = 42) -> DataFrame:
     """restart, f1, weights, cuts, gate of the best parameters of each restart.
 

@@ -9,11 +9,12 @@ from .catalogue import Catalogue
 from .session import table
 
 C = Catalogue()
-LAB = V.GROUPS + ", lb as (select distinct record_id, split, code from gl)"
+LAB = V.GROUPS + ", lb as (select distinct record_id, split, trim(code) as code from gl where trim(code) <> '')"
 
 
 def _labels(s, d):
-    return V.gold(s, d).select("record_id", "split", F.explode(F.array_distinct(F.flatten("groups"))).alias("code"))
+    codes = F.array_distinct(F.transform(F.flatten("groups"), lambda x: F.trim(x)))
+    return V.gold(s, d).select("record_id", "split", F.explode(codes).alias("code")).where("code <> ''")
 
 
 @C.add("label_doc_counts", LAB + "select code, count(distinct record_id) as n from lb group by all")
@@ -74,6 +75,24 @@ def stratified_split(s, d):
     return P.stratified(_labels(s, d).select("record_id", "code"))
 
 
+@C.add("stratified_violations", "select null::varchar as code, null::varchar as rule where false")
+def stratified_violations(s, d):
+    """Labels of the made split that break a rule: none."""
+    from .staging import stage
+
+    x = _labels(s, d).select("record_id", "code")
+    return P.violations(P.split_report(x, stage(P.stratified(x), "stratified")))
+
+
+@C.add("two_way_split", LAB + ", n as (select code from lb group by code having count(distinct record_id) = 1) select count(*) as records, 0 as single_outside from (select distinct record_id from lb)")
+def two_way_split(s, d):
+    """All records of labels, and how many labels of one document are outside train: none."""
+    x = _labels(s, d).select("record_id", "code")
+    w = P.two_way(x)
+    lone = x.join(P.label_counts(x).where("n = 1"), "code").join(w.where("split <> 'train'"), "record_id").agg(F.count("*").cast("int").alias("single_outside"))
+    return w.agg(F.count("*").alias("records")).join(F.broadcast(lone))
+
+
 def _features(s, d):
     from pyspark.ml.functions import array_to_vector
 
@@ -95,6 +114,20 @@ def gmm_assign(s, d):
     return assign(_features(s, d), "gmm", 4)
 
 
+@C.add("cluster_sweep")
+def cluster_sweep(s, d):
+    """Clusters of all vectors by the methods that are fit on a bounded sample of the training part, the rest assigned."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from ..operators.clustering import fit_assign
+
+    e = table(s, d, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    parts = [fit_assign(e, e.where("vec_id % 5 <> 0"), m, k).withColumns({"method": F.lit(m), "k": F.lit(k)}) for m, k in (("ward", 4), ("ward", 8), ("spectral", 4), ("dbscan", 5))]
+    return reduce(DataFrame.unionByName, parts).groupBy("method", "k", "cluster").agg(F.count("*").alias("vectors"))
+
+
 @C.add("nearest_centroid", """with c as (select label, i, avg(x) as m from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by all), v as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings), d as (select vec_id, label, round(sum((x - m) * (x - m)), 9) as dist from v join c using (i) group by all)
 select vec_id, label as cluster, round(dist, 6) as distance from d qualify row_number() over (partition by vec_id order by dist, label) = 1""")
 def nearest_centroid(s, d):

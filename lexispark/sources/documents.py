@@ -88,20 +88,54 @@ def read_scores(spark: SparkSession, folder: str, system: str) -> DataFrame | No
     return rows.select(F.lit(system).alias("system_name"), "record_id", F.explode(F.arrays_zip(F.array(*map(F.lit, labels)).alias("code"), F.col("s").alias("score"))).alias("x")).select("system_name", "record_id", "x.code", "x.score")
 
 
-def read_thresholds(spark: SparkSession, path: str, labels: list[str] | None = None) -> DataFrame:
-    """code, threshold from JSON (bare or under `thresholds`); with `labels` a missing one is an error."""
-    with open(path, encoding="utf-8") as f:
-        t = json.load(f)
-    t = t.get("thresholds", t)
-    if labels and (missing := [x for x in labels if x not in t]):
-        raise ValueError(f"no threshold for {missing[:5]}")
+def read_thresholds(spark: SparkSession, path: str, labels: list[str] | None = None, default: float | None = None) -> DataFrame:
+    """code, threshold from JSON (bare or under `thresholds`) or from .npy in the order of `labels`.
+
+    With `labels` a missing one is an error, or has the default; a missing file gives the default for all labels, without one it is an error.
+    """
+    if default is not None and "://" not in path and not os.path.exists(path):
+        t: dict[str, float] = {}
+    elif path.endswith(".npy"):
+        import numpy as np
+
+        values = np.load(path)
+        if labels is None or values.shape != (len(labels),):
+            raise ValueError("thresholds in .npy need as many labels as there are values")
+        t = dict(zip(labels, map(float, values)))
+    else:
+        with open(path, encoding="utf-8") as f:
+            t = json.load(f)
+        t = t.get("thresholds", t)
+    if missing := [x for x in labels or [] if x not in t]:
+        if default is None:
+            raise ValueError(f"no threshold for {missing[:5]}")
+        t = {x: t.get(x, default) for x in labels or []}
     return spark.createDataFrame([(k, float(v)) for k, v in t.items()], "code string, threshold double")
 
 
+def write_dictionary(dictionary: DataFrame, path: str) -> None:
+    """term, codes as CSV (term, codes_pipe_sep) sorted by term over all files."""
+    out = dictionary.select("term", F.array_join("codes", "|").alias("codes_pipe_sep"))
+    out.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+
+
+def write_lookup(descriptions: DataFrame, labels: DataFrame, path: str) -> None:
+    """code, description of every label as JSON lines by code; a label without a description has its code."""
+    d = labels.select("code").distinct().join(descriptions.groupBy("code").agg(F.min("description").alias("d")), "code", "left")
+    d.select("code", F.coalesce("d", "code").alias("description")).repartitionByRange("code").sortWithinPartitions("code").write.mode("overwrite").json(path)
+
+
+def write_manifest(exports: DataFrame, path: str) -> None:
+    """One JSON line for each strategy of exports (strategy, record_id, codes): records, codes, and its folder."""
+    m = exports.groupBy("strategy").agg(F.count("*").alias("records"), F.sum(F.size("codes")).alias("codes")).withColumn("folder", F.concat(F.lit("strategy="), "strategy"))
+    m.coalesce(1).sortWithinPartitions("strategy").write.mode("overwrite").json(path)
+
+
 def predictions_path(split: str, explicit: dict[str, str], folder: str | None = None) -> str:
-    """The file of a split's predictions: the explicit one, else the one beside the others, else an error."""
+    """The file of a split's predictions: the explicit one, else the one beside the others if it is there (a remote folder isn't looked into), else an error."""
     if split in explicit:
         return explicit[split]
-    if folder:
-        return os.path.join(folder, f"{split}_predictions.jsonl")
+    beside = os.path.join(folder, f"{split}_predictions.jsonl") if folder else ""
+    if beside and ("://" in beside or os.path.exists(beside)):
+        return beside
     raise FileNotFoundError(f"no predictions for {split}")
