@@ -66,8 +66,12 @@ def test_overlap_against_brute_force(spark):
     assert rows(overlap.split_overlap(df), "record_id_a", "record_id_b") == brute_overlap(recs)
 
 
-def test_overlap_of_texts_quoted_very_often(spark):
-    """Runs that more than 64 pairs share: texts quoted by half, and near-copies that differ from each other."""
+@pytest.mark.parametrize("holders", [4_000_000, 20])
+def test_overlap_of_texts_quoted_very_often(spark, monkeypatch, holders):
+    """Runs that more than 64 pairs share: texts quoted by half, and near-copies that differ from each other; also with such runs spread over buckets."""
+    from lexispark.llm import routing
+
+    monkeypatch.setattr(routing, "HOT_HOLDERS", holders)
     rng = random.Random(9)
     draw = lambda k: " ".join(rng.choices([f"w{i}" for i in range(3000)], k=k))
     base = draw(64).split(" ")
@@ -305,8 +309,8 @@ def test_no_form_of_residue_is_filtered_out():
     assert residue.folded(unicodedata.normalize("NFD", "Η ΣΕΛΊΔΑ ς")) == "η σελιδα σ"
 
 
-@pytest.mark.parametrize(("buckets", "runs", "met", "hits"), [(1, 10**6, 10**6, 1), (5, 700, 10**6, 3), (7, 300, 40, 8)])
-def test_routing_over_many_flushes_and_buckets(monkeypatch, buckets, runs, met, hits):
+@pytest.mark.parametrize(("buckets", "runs", "met", "hits", "hot"), [(1, 10**6, 10**6, 1, 0), (5, 700, 10**6, 3, 0), (7, 300, 40, 8, 0), (5, 300, 10**6, 3, 12), (3, 300, 50, 1, 3), (7, 10**6, 10**6, 8, 1)])
+def test_routing_over_many_flushes_and_buckets(monkeypatch, buckets, runs, met, hits, hot):
     """The packed steps run by hand with small flushes, many buckets and small blocks: every pair above the share is a candidate."""
     import pandas as pd
 
@@ -321,20 +325,29 @@ def test_routing_over_many_flushes_and_buckets(monkeypatch, buckets, runs, met,
         text = draw(rng.choice((4, 6, 30))) + base[: rng.choice((0, 12, 25, 40))] + draw(rng.choice((0, 9, 30)))
         recs.append((i, rng.choice((1, 2)), " ".join(text)))
     recs += [(200 + i, s, t) for i, s, t in recs[::9]] + [(300 + i, 3 - s, t) for i, s, t in recs[::10]]
-    packed, flush, number = [], r._Flush(0, buckets), 0
+    # runs that more than `hot` texts hold are spread
+    h = np.concatenate([np.unique(textkernel.windows(textkernel.Words([x[2]]), 5)[0]) for x in recs])
+    run, n = np.unique(h, return_counts=True)
+    spread = r.Spread(run[n > hot], 1 + n[n > hot] // hot, buckets) if hot else None
+    assert not hot or len(spread.run) > 20
+
+    class Sent:
+        value = spread
+
+    packed, flush, number = [], r._Flush(0, buckets, spread), 0
     for i in range(0, len(recs), 3):
         part = recs[i : i + 3]
         flush.add(np.array([x[0] for x in part]), np.array([x[1] for x in part]), textkernel.Words([x[2] for x in part]))
         if flush.full:
             packed += flush.rows()
             number += 1
-            flush = r._Flush(number, buckets)
+            flush = r._Flush(number, buckets, spread)
     packed += flush.rows() if flush.seen else []
     frame = r._frame(packed)
-    known = pd.concat([r._bucket((b,), g) for b, g in frame.groupby("bucket")])
+    known = pd.concat([r._bucket(buckets)((b,), g) for b, g in frame.groupby("bucket")])
     told = known[known["kind"].isin((r.FREQUENCIES, r.TEXTS))]
-    chosen = pd.concat([r._settle(0.5, hits)((f,), g) for f, g in told.groupby("flush")])
-    met_rows = [r._meet((b,), known[(known["kind"] == r.POSTINGS) & (known["bucket"] == b)], chosen[chosen["bucket"] == b]) for b in range(buckets)]
+    chosen = pd.concat([r._settle(0.5, hits, Sent)((f,), g) for f, g in told.groupby("flush")])
+    met_rows = [r._meet((b,), known[(known["kind"] == r.POSTINGS) & (known["bucket"] == b)], chosen[chosen["bucket"] == b]) for b in range(2 * buckets)]
     every = pd.concat([*met_rows, chosen[chosen["bucket"] < 0]])
     pairs = pd.concat([r._count((f,), g) for f, g in every.groupby("flush")])
     ids = {}
