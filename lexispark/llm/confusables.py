@@ -69,25 +69,25 @@ def replaced(ch: str) -> str:
     return ch
 
 
+def flag(ch: str) -> int:
+    """The flags of a character."""
+    cat = unicodedata.category(ch)
+    if cat == "Cf" or ch in UNSEEN or 0xE0000 <= ord(ch) <= 0xE01EF:
+        return IGNORABLE
+    if cat in ("Mn", "Me"):
+        return MARK | LETTER
+    if cat in ("Zs", "Zl", "Zp") and ch != " ":
+        return BLANK
+    if cat[0] in "LN":
+        return LETTER | script(ch) | (WIDTH if replaced(ch) != ch else 0) | (MU if ch in "μµ" else 0)
+    return WIDTH if replaced(ch) != ch else 0
+
+
 @lru_cache(maxsize=1)
 def flag_table() -> np.ndarray:
     t = np.zeros(TABLE_SIZE, np.uint16)
     for cp in range(TABLE_SIZE):
-        if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3:
-            t[cp] = LETTER
-            continue
-        ch = chr(cp)
-        cat = unicodedata.category(ch)
-        if cat == "Cf" or ch in UNSEEN:
-            t[cp] = IGNORABLE
-        elif cat in ("Mn", "Me"):
-            t[cp] = MARK | LETTER
-        elif cat in ("Zs", "Zl", "Zp") and ch != " ":
-            t[cp] = BLANK
-        elif cat[0] in "LN":
-            t[cp] = LETTER | script(ch) | (WIDTH if replaced(ch) != ch else 0) | (MU if ch in "μµ" else 0)
-        elif replaced(ch) != ch:
-            t[cp] = WIDTH
+        t[cp] = LETTER if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3 else flag(chr(cp))
     return t
 
 
@@ -95,7 +95,9 @@ def flags(texts: list[str]) -> np.ndarray:
     """For each text the flags of its characters; LETTER only where a word of it mixes scripts."""
     cps = codepoints(texts)
     f = flag_table()[np.minimum(cps, TABLE_SIZE - 1)]
-    f[cps >= TABLE_SIZE] = 0
+    if (high := cps >= TABLE_SIZE).any():
+        some, at = np.unique(cps[high], return_inverse=True)
+        f[high] = np.array([flag(chr(c)) for c in some], np.uint16)[at]
     length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begin = np.cumsum(length) - length
     out = np.bitwise_or.reduceat(f & np.uint16(WIDTH | MARK | IGNORABLE | BLANK), begin) if len(texts) else np.zeros(0, np.uint16)

@@ -80,7 +80,9 @@ class Words:
         cls = table[np.minimum(cps, TABLE_SIZE - 1)]
         high = cps >= TABLE_SIZE
         if high.any():
-            cls = np.where(high, cps, cls)
+            some, at = np.unique(cps[high], return_inverse=True)
+            folded = [fold(chr(c)) for c in some]
+            cls[high] = np.array([DEL if f == "" else SEP if f == " " else ord(f) if len(f) == 1 else EXPAND for f in folded], np.uint32)[at]
         if (cls == EXPAND).any():
             which = np.unique(np.searchsorted(ends, np.flatnonzero(cls == EXPAND), side="right"))
             texts = list(texts)

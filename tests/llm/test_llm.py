@@ -117,6 +117,13 @@ def test_confusables(spark):
     assert confusables.normalised(df, "record_id", "text", m).count() == len(texts) * 2
 
 
+def test_characters_beyond_the_table():
+    assert confusables.flags(["a\U000e0041b", "a\U000e0101b", "\U00020000", "\U0002f800", "ab"]).tolist() == [confusables.IGNORABLE] * 2 + [0, confusables.WIDTH, 0]
+    w = textkernel.Words(["a\U000e0041b", "ab", "\U0002f800", "\u4e3d", "\U0001d7d8\U0001f600x"])
+    h = [w.hash[a:b].tolist() for a, b in zip(w.first[:-1], w.first[1:])]
+    assert h[0] == h[1] and h[2] == h[3] and len(h[4]) == 2
+
+
 def test_gram_counts_against_brute_force(spark):
     rng = random.Random(6)
     seqs = [(i, rng.choices("abc", k=rng.randrange(8))) for i in range(200)]
