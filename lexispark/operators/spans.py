@@ -168,6 +168,18 @@ def link(mentions: DataFrame, priors: DataFrame, dictionary: DataFrame, similari
     return j.withColumn("score", score).withColumn("k", F.row_number().over(w)).where("k = 1").select("mention_id", "code", "score")
 
 
+def context_similarity(candidates: DataFrame, windows: DataFrame, codes: DataFrame) -> DataFrame:
+    """mention_id, code, similarity of each candidate: the cosine of its context's and its code's vector, -1 where either is missing or zero.
+
+    candidates: mention_id, code; windows: mention_id, embedding of the text around the mention; codes: code, embedding of its description. Vectors come from any model, one row each.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    unit = lambda df, key, name: df.select(key, F.col("embedding").cast("array<double>").alias("v")).select(key, F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))).alias(name))
+    j = candidates.select("mention_id", "code").join(unit(windows, "mention_id", "w"), "mention_id", "left").join(unit(codes, "code", "c"), "code", "left")
+    score = dot(F.col("w"), F.col("c"))
+    return j.select("mention_id", "code", F.when(score.isNull() | F.isnan(score), -1.0).otherwise(score).alias("similarity"))
+
+
 def record_codes(linked: DataFrame) -> DataFrame:
     """record_id, codes in the order in which they first appear. linked: record_id, span_start, mention_id, code."""
     s = F.array_sort(F.collect_list(F.struct("span_start", "mention_id", "code")))

@@ -179,3 +179,41 @@ def ir_grid_kinds(s, d):
     # hits are in the order of their scores: what a fraction keeps is a beginning, so a rank tells how many were kept before
     ok = hits.withColumn("p", F.explode(points)).where((F.col("best") > 0) & (F.round("score", 9) >= F.round(F.col("p.fraction") * F.col("best"), 9)) & (F.col("rank") <= F.col("p.most")))
     return ok.groupBy("kind", "p.fraction", "p.most").agg(F.count("*").alias("predicted"), F.count("y").alias("n_right"))
+
+
+@C.add(
+    "context_rerank",
+    """with v as (select vec_id, embedding::double[] as e, label from embeddings where embedding is not null), q as (select * from v where vec_id % 20 = 0),
+p as (select label, i, avg(x) as m from (select label, unnest(e) as x, generate_subscripts(e, 1) as i from v where label is not null) group by all), c as (select label, list(m order by i) as e from p where label % 2 = 0 group by label),
+k as (select q.vec_id as mention_id, q.e, unnest([q.label, q.label + 1, q.label + 2]) as code from q where q.label is not null)
+select mention_id, k.code::varchar as code, round(coalesce(list_dot_product(k.e, c.e) / sqrt(list_dot_product(k.e, k.e)) / sqrt(list_dot_product(c.e, c.e)), -1), 6) as similarity from k left join c on c.label = k.code""",
+)
+def context_rerank(s, d):
+    """Candidates scored by vectors of their contexts; codes without a vector get -1."""
+    e = table(s, d, "embeddings").where("embedding is not null")
+    long = e.where("label is not null and label % 2 = 0").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    codes = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x.m).alias("embedding")).select(F.col("label").cast("string").alias("code"), "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("mention_id"), "label", "embedding")
+    wanted = q.where("label is not null").select("mention_id", F.explode(F.array("label", F.col("label") + 1, F.col("label") + 2)).alias("code")).select("mention_id", F.col("code").cast("string").alias("code"))
+    return N.context_similarity(wanted, q, codes).withColumn("similarity", F.round("similarity", 6))
+
+
+@C.add(
+    "link_reranked",
+    QN.PRIOR
+    + ", "
+    + QD.DICT
+    + f""", ca0 as (select key, code, n as c, n / sum(n) over (partition by key)::double as prior from pr union all select term, code, 0, 0 from di where not exists (select 1 from pr where pr.key = di.term and pr.code = di.code)),
+ca as (select key, code, c, case when max(c) over (partition by key) = 0 then 1 / count(*) over (partition by key)::double else prior end as prior from ca0), m as (select mention_id, {V.norm_sql('mention')} as key from ok where source = 'model'),
+j as (select mention_id, code, c, round(0.3::double * prior + 0.7::double * coalesce(case when (mention_id + l.label_ix) % 3 = 0 then (mention_id * 31 + l.label_ix * 7) % 100 / 100.0::double end, -1), 9) as s from m join ca using (key) left join (select distinct code, label_ix from labelset) l using (code) where key <> '')
+select mention_id, code, round(s, 6) as score from j qualify row_number() over (partition by mention_id order by s desc, c desc, code) = 1""",
+)
+def link_reranked(s, d):
+    """Linking with similarities of contexts (made from ids here) for a third of the candidates."""
+    v = QN.valid(s, d)
+    m = v.where("source = 'model'")
+    lab = F.broadcast(table(s, d, "labelset").select("code", "label_ix").distinct())
+    x = F.col("mention_id") * 31 + F.col("label_ix") * 7
+    third = F.filter(F.sequence(F.lit(0), F.lit(len(V.labels(s, d)) - 1)), lambda i: (F.col("mention_id") + i) % 3 == 0)
+    sim = m.select("mention_id", F.explode(third).alias("label_ix")).join(lab, "label_ix").select("mention_id", "code", (x % 100 / 100.0).alias("similarity"))
+    return N.link(m, N.prior(v.where("source = 'gold'")), QD.dictionary(s, d), sim, 0.3).select("mention_id", "code", F.round("score", 6).alias("score"))
