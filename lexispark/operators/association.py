@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..plans.staging import checked_broadcast, lookup, stage
 
 
 def _codes(gold: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def rules(gold: DataFrame, least: int = 40, share: float = 0.45) -> DataFrame:
     """code_a, code_b, n_both, probability of b given a: documents with both over group occurrences of a."""
     p = _pairs(_codes(gold)).groupBy("a", "b").agg(F.count("*").alias("both")).where(F.col("both") >= least)
     both = p.select(F.col("a").alias("code_a"), F.col("b").alias("code_b"), "both").unionByName(p.select(F.col("b").alias("code_a"), F.col("a").alias("code_b"), "both"))
-    j = both.join(F.broadcast(_group_support(gold).withColumnRenamed("code", "code_a")), "code_a").where(F.col("both") >= share * F.col("n"))
+    j = both.join(lookup(_group_support(gold).withColumnRenamed("code", "code_a"), "support"), "code_a").where(F.col("both") >= share * F.col("n"))
     return j.select("code_a", "code_b", F.col("both").alias("n_both"), F.round(F.col("both") / F.col("n"), 3).alias("probability"))
 
 
@@ -35,7 +36,8 @@ def jaccard(gold: DataFrame, most: int = 20) -> DataFrame:
     c = _codes(gold).join(F.broadcast(top)).select(F.array_intersect("codes", "top").alias("codes"))
     size = c.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     p = _pairs(c).groupBy("a", "b").agg(F.count("*").alias("both"))
-    j = p.join(F.broadcast(size.select(F.col("code").alias("a"), F.col("n").alias("x"))), "a").join(F.broadcast(size.select(F.col("code").alias("b"), F.col("n").alias("y"))), "b")
+    size = stage(size, "sizes")
+    j = p.join(checked_broadcast(size.select(F.col("code").alias("a"), F.col("n").alias("x"))), "a").join(checked_broadcast(size.select(F.col("code").alias("b"), F.col("n").alias("y"))), "b")
     return j.select(F.col("a").alias("code_a"), F.col("b").alias("code_b"), "both", L.ratio(F.col("both"), F.col("x") + F.col("y") - F.col("both")).alias("jaccard"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..plans.staging import checked_broadcast, lookup
 
 CELL = ["record_id", "code"]
 
@@ -76,7 +77,7 @@ def compose(spec: Composition, base: dict[str, DataFrame]) -> DataFrame | None:
 def normalized_scores(scores: DataFrame, thresholds: DataFrame, default: float = 0.5) -> DataFrame:
     """Scores divided by the threshold of their system and label, `default` where none is given."""
     t = thresholds.select("system_name", "code", "threshold")
-    return scores.join(F.broadcast(t), ["system_name", "code"], "left").withColumn("score", F.col("score") / F.coalesce("threshold", F.lit(default))).drop("threshold")
+    return scores.join(checked_broadcast(t), ["system_name", "code"], "left").withColumn("score", F.col("score") / F.coalesce("threshold", F.lit(default))).drop("threshold")
 
 
 def by_system(values: dict[str, float], default: float = 0.0) -> Column:
@@ -130,7 +131,7 @@ def weighted_top_k(scores: DataFrame, weights: dict[str, float], cuts: dict[str,
 
 def frequency_buckets(scores: DataFrame, weights: dict[str, float], cuts: dict[str, float], gate: float, support: DataFrame, rare_below: int = 25, rare: float = 1.08, frequent: float = 0.97) -> DataFrame:
     """A higher bound for rare labels, a lower one for others. support: code, n."""
-    c = combined(scores, weights, cuts).join(F.broadcast(support), "code", "left")
+    c = combined(scores, weights, cuts).join(lookup(support, "support"), "code", "left")
     g = F.when(F.coalesce("n", F.lit(0)) < rare_below, gate * rare).otherwise(gate * frequent)
     return c.where(_at_least(F.col("weight"), g)).select(*CELL)
 
@@ -148,7 +149,7 @@ def label_champions(report: DataFrame, order: dict[str, int]) -> DataFrame:
 
 
 def label_routing(scores: DataFrame, champions: DataFrame, cut: float = 1.0) -> DataFrame:
-    return scores.join(F.broadcast(champions), ["code", "system_name"]).where(_at_least(F.col("score"), cut)).select(*CELL)
+    return scores.join(lookup(champions, "champions"), ["code", "system_name"]).where(_at_least(F.col("score"), cut)).select(*CELL)
 
 
 def champion_plus_vote(scores: DataFrame, champions: DataFrame, others: int, cuts: dict[str, float], systems: list[str]) -> DataFrame:
@@ -156,7 +157,7 @@ def champion_plus_vote(scores: DataFrame, champions: DataFrame, others: int, cut
 
     A label without a champion has the first system.
     """
-    c = scores.join(F.broadcast(champions.withColumnRenamed("system_name", "champion")), "code", "left").withColumn("champion", F.coalesce("champion", F.lit(systems[0])))
+    c = scores.join(lookup(champions.withColumnRenamed("system_name", "champion"), "champions"), "code", "left").withColumn("champion", F.coalesce("champion", F.lit(systems[0])))
     vote = F.col("score") >= by_system(cuts, 1.0)
     own = F.col("system_name") == F.col("champion")
     s = c.groupBy(*CELL).agg(F.max((vote & own).cast("int")).alias("own"), F.count_if(vote & ~own).alias("n"))
@@ -216,7 +217,7 @@ def cluster_champions(clusters: DataFrame, scored: DataFrame, order: dict[str, i
 
 def cluster_routing(preds: DataFrame, clusters: DataFrame, champions: DataFrame, default: str) -> DataFrame:
     """The predictions of each cluster's champion, of `default` where a record has no cluster or its cluster no champion."""
-    route = preds.select("record_id").distinct().join(clusters, "record_id", "left").join(F.broadcast(champions.select("cluster", F.col("system_name").alias("s"))), "cluster", "left").select("record_id", F.coalesce("s", F.lit(default)).alias("system_name"))
+    route = preds.select("record_id").distinct().join(clusters, "record_id", "left").join(lookup(champions.select("cluster", F.col("system_name").alias("s")), "champions"), "cluster", "left").select("record_id", F.coalesce("s", F.lit(default)).alias("system_name"))
     return preds.join(route, ["record_id", "system_name"]).select(*CELL)
 
 

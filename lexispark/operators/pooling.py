@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import checked_broadcast
+
 
 def sigmoid(c: Column) -> Column:
     return 1 / (1 + F.exp(-c))
@@ -33,7 +35,7 @@ def average_runs(scores: DataFrame) -> DataFrame:
 
 def raise_parents(scores: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """record_id, code, score with each parent at least as probable as its children. hierarchy: child, parent."""
-    up = scores.join(F.broadcast(hierarchy), F.col("code") == F.col("child")).select("record_id", F.col("parent").alias("code"), "score")
+    up = scores.join(checked_broadcast(hierarchy), F.col("code") == F.col("child")).select("record_id", F.col("parent").alias("code"), "score")
     return scores.select("record_id", "code", "score").unionByName(up).groupBy("record_id", "code").agg(F.max("score").alias("score"))
 
 
@@ -42,7 +44,7 @@ def class_weights(gold: DataFrame, labels: DataFrame, low: float = 1.0, high: fl
     n = gold.agg(F.count("*").alias("n"))
     pos = gold.select("record_id", F.explode(F.array_distinct(F.flatten("groups"))).alias("code")).groupBy("code").agg(F.count("*").alias("pos"))
     w = (F.col("n") - F.col("pos")) / F.greatest("pos", F.lit(1))
-    return labels.select("code").distinct().join(F.broadcast(pos), "code", "left").na.fill(0, ["pos"]).join(F.broadcast(n)).select("code", "pos", F.least(F.greatest(w, F.lit(low)), F.lit(high)).alias("weight"))
+    return labels.select("code").distinct().join(pos, "code", "left").na.fill(0, ["pos"]).join(F.broadcast(n)).select("code", "pos", F.least(F.greatest(w, F.lit(low)), F.lit(high)).alias("weight"))
 
 
 def label_class_weights(gold: DataFrame, labels: DataFrame, low: float = 1.0, high: float = 20.0) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, tokenize
-from ..plans.staging import checked_broadcast, stage
+from ..plans.staging import checked_broadcast, lookup, stage
 
 
 def code_documents(descriptions: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def code_documents(descriptions: DataFrame, phrases: DataFrame | None = None) ->
     d = descriptions
     extra = F.lit("")
     if phrases is not None:
-        d = d.join(F.broadcast(phrases), "code", "left")
+        d = d.join(phrases, "code", "left")
         extra = F.coalesce(F.array_join("phrases", " "), F.lit(""))
     norm = normalize_text(F.concat_ws(" ", "code", F.coalesce("description", F.lit("")), extra), fold_sigma=True)
     return d.select("code", F.col("label_ix").alias("corpus_ix"), norm.alias("norm")).withColumn("tokens", tokenize(F.col("norm")))
@@ -228,7 +228,7 @@ def relative_cut(hits: DataFrame, fraction: float, most: int, least_one: bool =
     h = hits.withColumn("best", best)
     share = F.lit(fraction)
     if per_code is not None:
-        h = h.join(F.broadcast(per_code.withColumnRenamed("fraction", "own")), "code", "left")
+        h = h.join(lookup(per_code.withColumnRenamed("fraction", "own"), "fractions"), "code", "left")
         share = F.coalesce("own", share)
     ok = (F.col("best") > 0) & (F.round("score", 9) >= F.round(share * F.col("best"), 9))
     if least_one:

@@ -37,7 +37,7 @@ def micro(gold: DataFrame, preds: DataFrame, *by: str) -> DataFrame:
     if by:
         s = s.join(gold.select("record_id", *by), "record_id")
     s = s.groupBy("system_name", *by).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    j = s.join(F.broadcast(total), list(by)) if by else s.join(F.broadcast(total))
+    j = s.join(total, list(by)) if by else s.join(F.broadcast(total))
     fn = F.col("n") - F.col("tp")
     return j.select("system_name", *by, "tp", "fp", fn.alias("fn"), L.ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), L.ratio(F.col("tp"), F.col("n")).alias("recall"), L.f1(F.col("tp"), F.col("fp"), fn).alias("f1"))
 
@@ -57,7 +57,7 @@ def per_class(gold: DataFrame, preds: DataFrame, labels: DataFrame) -> DataFrame
         raise ValueError("more than 1000 systems")
     grid = labels.select("code").distinct().withColumn("system_name", F.explode(F.array(*map(F.lit, systems)) if systems else F.array().cast("array<string>")))
     zero = {"support": 0, "hits": 0, "fp": 0}
-    r = grid.join(F.broadcast(support), "code", "left").join(F.broadcast(hits), ["system_name", "code"], "left").join(F.broadcast(fp), ["system_name", "code"], "left").na.fill(zero)
+    r = grid.join(support, "code", "left").join(hits, ["system_name", "code"], "left").join(fp, ["system_name", "code"], "left").na.fill(zero)
     p, q = L.ratio(F.col("hits"), F.col("hits") + F.col("fp")), L.ratio(F.col("hits"), F.col("support"))
     return r.select("system_name", "code", "support", "hits", "fp", p.alias("precision"), q.alias("recall"), L.ratio(2 * p * q, p + q).alias("f1"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.staging import lookup
+
 
 def label_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("code").agg(F.countDistinct("record_id").alias("n"))
@@ -59,7 +61,7 @@ def rare_placement(labels: DataFrame, limit: int = 5_000) -> list[tuple[int, str
 
 def two_way(labels: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
     """record_id, split (train, test) of two parts: records of labels with one document are forced to train, the others dealt out in proportion."""
-    single = labels.join(F.broadcast(label_counts(labels).where("n = 1")), "code").select("record_id").distinct().withColumn("forced", F.lit("train"))
+    single = labels.join(lookup(label_counts(labels).where("n = 1"), "label-counts"), "code").select("record_id").distinct().withColumn("forced", F.lit("train"))
     r = stratified(labels, share, 0.0, seed, forced=False)
     return r.join(single, "record_id", "left").select("record_id", F.coalesce("forced", "split").alias("split"))
 
@@ -71,7 +73,7 @@ def stratified(labels: DataFrame, test: float = 0.1, val: float = 0.1, seed: int
     """
     spark = labels.sparkSession
     fixed = spark.createDataFrame([(i, s) for i, s, _ in rare_placement(labels)] if forced else [], "record_id bigint, forced string")
-    stratum = labels.join(F.broadcast(label_counts(labels)), "code").groupBy("record_id").agg(F.min(F.struct("n", "code")).alias("s"))
+    stratum = labels.join(lookup(label_counts(labels), "label-counts"), "code").groupBy("record_id").agg(F.min(F.struct("n", "code")).alias("s"))
     key = F.xxhash64("record_id", F.lit(seed))
     # a stratum is dealt out in 64 parts, so that a label of very many records is no single task's window
     w = W.partitionBy("s", F.pmod(key, F.lit(64))).orderBy(key, "record_id")
@@ -113,7 +115,7 @@ def multipliers(labels: DataFrame, bands: tuple[tuple[int, int], ...] = ((50, 4)
     m = F.lit(0)
     for below, times in reversed(bands):
         m = F.when(F.col("n") < below, times).otherwise(m)
-    return labels.join(F.broadcast(label_counts(labels)), "code").groupBy("record_id").agg(F.max(m).cast("bigint").alias("copies"))
+    return labels.join(lookup(label_counts(labels), "label-counts"), "code").groupBy("record_id").agg(F.max(m).cast("bigint").alias("copies"))
 
 
 def augment(records: DataFrame, copies: DataFrame, synonyms: DataFrame, p: float = 0.35, seed: int = 42, most: int = 10_000) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..plans.staging import lookup
 
 
 def threshold_sweep(cells: DataFrame, gold: DataFrame, grid: list[float]) -> DataFrame:
@@ -51,7 +52,7 @@ def label_thresholds(cells: DataFrame, gold: DataFrame, grid: list[float], least
     support = y.groupBy("code").agg(F.count("*").alias("pos")).where(f"pos >= {least}")
     c = cells.join(gold.select("record_id"), "record_id", "left_semi").join(y, ["record_id", "code"], "left")
     s = c.withColumn("t", F.explode(F.array(*map(F.lit, grid)))).where(F.round("score", 9) >= F.round("t", 9)).groupBy("code", "t").agg(F.count("y").alias("tp"), F.count_if(F.col("y").isNull()).alias("fp"))
-    s = s.join(F.broadcast(support), "code").withColumn("f1", F.round(L.f1(F.col("tp"), F.col("fp"), F.col("pos") - F.col("tp")), 9))
+    s = s.join(lookup(support, "support"), "code").withColumn("f1", F.round(L.f1(F.col("tp"), F.col("fp"), F.col("pos") - F.col("tp")), 9))
     return s.withColumn("k", F.row_number().over(W.partitionBy("code").orderBy(F.desc("f1"), "t"))).where("k = 1").select("code", F.col("t").alias("threshold"), "f1")
 
 
@@ -176,7 +177,7 @@ def coordinate_descent(cells: DataFrame, gold: DataFrame, grid: list[float], pas
     y = gold.select("record_id", F.posexplode("groups").alias("ix", "g")).select("record_id", "ix", F.explode(F.array_distinct("g")).alias("code"))
     pos = y.select("record_id", "code").distinct().groupBy("code").agg(F.count("*").alias("pos"))
     hits = y.groupBy("record_id", "code").agg(F.array_sort(F.collect_set("ix")).alias("groups"))
-    rows = cells.join(gold.select("record_id"), "record_id", "left_semi").join(hits, ["record_id", "code"], "left").join(F.broadcast(pos), "code", "left").select("record_id", "code", F.round("score", 9).alias("score"), F.coalesce("groups", F.array().cast("array<int>")).alias("groups"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    rows = cells.join(gold.select("record_id"), "record_id", "left_semi").join(hits, ["record_id", "code"], "left").join(lookup(pos, "support"), "code", "left").select("record_id", "code", F.round("score", 9).alias("score"), F.coalesce("groups", F.array().cast("array<int>")).alias("groups"), F.coalesce("pos", F.lit(0)).alias("pos"))
     total = gold.agg(F.coalesce(F.sum(F.size("groups")), F.lit(0)).cast("bigint")).first()[0]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

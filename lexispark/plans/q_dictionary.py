@@ -162,7 +162,7 @@ def coverage_report(s, d):
 @C.add("description_lookup", "select l.code, coalesce(min(c.greek_description), l.code) as description from labelset l left join code_lookup c on c.code = l.code and c.greek_description <> '' group by l.code")
 def description_lookup(s, d):
     c = table(s, d, "code_lookup").where("greek_description <> ''").groupBy("code").agg(F.min("greek_description").alias("x"))
-    return table(s, d, "labelset").select("code").distinct().join(F.broadcast(c), "code", "left").select("code", F.coalesce("x", "code").alias("description"))
+    return table(s, d, "labelset").select("code").distinct().join(c, "code", "left").select("code", F.coalesce("x", "code").alias("description"))
 
 
 @C.add("fuzzy_fallback")

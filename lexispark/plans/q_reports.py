@@ -212,7 +212,7 @@ def link_reranked(s, d):
     """Linking with similarities of contexts (made from ids here) for a third of the candidates."""
     v = QN.valid(s, d)
     m = v.where("source = 'model'")
-    lab = F.broadcast(table(s, d, "labelset").select("code", "label_ix").distinct())
+    lab = table(s, d, "labelset").select("code", "label_ix").distinct()
     x = F.col("mention_id") * 31 + F.col("label_ix") * 7
     third = F.filter(F.sequence(F.lit(0), F.lit(len(V.labels(s, d)) - 1)), lambda i: (F.col("mention_id") + i) % 3 == 0)
     sim = m.select("mention_id", F.explode(third).alias("label_ix")).join(lab, "label_ix").select("mention_id", "code", (x % 100 / 100.0).alias("similarity"))

@@ -29,7 +29,7 @@ def corpus(s, d):
     from .staging import stage
 
     look = table(s, d, "code_lookup").where("greek_description <> ''").groupBy("code").agg(F.min("greek_description").alias("description"))
-    c = R.code_documents(table(s, d, "labelset").join(F.broadcast(look), "code", "left"), R.mention_phrases(V.mentions(s, d)))
+    c = R.code_documents(table(s, d, "labelset").join(look, "code", "left"), R.mention_phrases(V.mentions(s, d)))
     return stage(c, "code-corpus")  # one row for each label, used by every channel
 
 

@@ -220,7 +220,7 @@ def confusion_matrix(s, d):
 @C.add("label_positives", V.GROUPS + "select l.code, count(distinct record_id) as positives from (select distinct code from labelset) l left join gl using (code) group by all")
 def label_positives(s, d):
     pos = V.gold(s, d).select("record_id", F.explode(F.array_distinct(F.flatten("groups"))).alias("code")).groupBy("code").agg(F.countDistinct("record_id").alias("positives"))
-    return table(s, d, "labelset").select("code").distinct().join(F.broadcast(pos), "code", "left").na.fill(0)
+    return table(s, d, "labelset").select("code").distinct().join(pos, "code", "left").na.fill(0)
 
 
 @C.add("label_frequency", V.GROUPS + f", n as (select code, count(distinct record_id) as n from gl group by code) select code, n, {BANDS.format('n')} as band, row_number() over (order by n desc, code) as rank from n")

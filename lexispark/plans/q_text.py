@@ -108,7 +108,7 @@ def eda_report(s, d):
     x = V.gold(s, d).select("split", F.array_distinct(F.flatten("groups")).alias("codes"))
     n = F.size("codes").cast("bigint")
     a = x.groupBy("split").agg(F.count("*").alias("records"), F.min(n).alias("min_labels"), F.max(n).alias("max_labels"), F.round(F.avg(n), 6).alias("avg_labels"))
-    c = x.select("split", F.explode("codes").alias("code")).distinct().join(F.broadcast(table(s, d, "labelset").select("code", F.lit(1).alias("known"))), "code", "left").groupBy("split").agg(F.count("*").alias("codes"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    c = x.select("split", F.explode("codes").alias("code")).distinct().join(table(s, d, "labelset").select("code", F.lit(1).alias("known")), "code", "left").groupBy("split").agg(F.count("*").alias("codes"), F.count_if(F.col("known").isNull()).alias("unknown"))
     return a.join(c, "split")
 
 

@@ -65,3 +65,8 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Beyond the bound the join is a shuffled one and AQE splits its skewed partitions.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def lookup(df: DataFrame, name: str) -> DataFrame:
+    """A side that is expected to be small, of labels or systems say: computed once into the shared folder, then broadcast if its rows are few enough."""
+    return checked_broadcast(stage(df, name))

@@ -78,7 +78,7 @@ def raw_scores(spark: SparkSession, d: str) -> DataFrame:
     member = g.select("record_id", F.explode(F.array_distinct(F.flatten("groups"))).alias("code")).withColumn("g", F.lit(1))
     pl = flat(predictions(spark, d)).withColumn("p", F.lit(1))
     lab = table(spark, d, "labelset").select("label_ix", "code")
-    cells = member.select("record_id", "code").unionByName(pl.select("record_id", "code").join(g.select("record_id"), "record_id", "left_semi")).distinct().join(F.broadcast(lab), "code").join(member, ["record_id", "code"], "left")
+    cells = member.select("record_id", "code").unionByName(pl.select("record_id", "code").join(g.select("record_id"), "record_id", "left_semi")).distinct().join(lab, "code").join(member, ["record_id", "code"], "left")
     sys = F.array(*[F.struct(F.lit(s).alias("system_name"), F.lit(i).alias("system_ix")) for i, s in enumerate(SYSTEMS)])
     x = cells.withColumn("s", F.explode(sys)).select("record_id", "code", "label_ix", "g", "s.system_name", "s.system_ix").join(pl, ["system_name", "record_id", "code"], "left")
     m, k = F.col("system_ix").cast("bigint"), F.col("label_ix").cast("bigint")
