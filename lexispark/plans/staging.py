@@ -70,3 +70,19 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def lookup(df: DataFrame, name: str) -> DataFrame:
     """A side that is expected to be small, of labels or systems say: computed once into the shared folder, then broadcast if its rows are few enough."""
     return checked_broadcast(stage(df, name))
+
+
+#: Bytes up to which a scan of too few splits is dealt out to all cores.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan with filters, dealt out to all cores if it is small and its files give fewer splits than there are cores; else as it is.
+
+    For costly passes over few row groups. A collection of more bytes isn't shuffled for it, whatever its splits.
+    """
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
