@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import spread
 from .textkernel import CHUNK_CHARS, TABLE_SIZE, chunks, codepoints, fold
 
 WIDTH, MARK, IGNORABLE, BLANK, LATIN, GREEK, CYRILLIC, LETTER, MU = (1 << i for i in range(9))
@@ -292,6 +293,7 @@ def terms_of(dictionary: DataFrame, most: int = 1_000_000) -> list[str]:
 
 def found(records: DataFrame, mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """field_name, row_key of the texts and mentions that have another consistent form."""
+    records, mentions = spread(records.select("record_id", "text")), spread(mentions.select("mention_id", "mention"))
     model = speller(records, "text", terms_of(dictionary))
     a = canonical_forms(records, "record_id", "text", model).select(F.lit("text").alias("field_name"), F.col("key").alias("row_key"))
     b = canonical_forms(mentions, "mention_id", "mention", model, terms=True).select(F.lit("mention").alias("field_name"), F.col("key").alias("row_key"))

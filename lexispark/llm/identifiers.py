@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
-from ..plans.staging import checked_broadcast, stage
+from ..plans.staging import checked_broadcast, spread, stage
 
 INSTANCES = "record_id bigint, kind string, found_value string, begin int, seed boolean, tokens array<string>, patterns array<string>"
 #: Least share of known instances for a pattern of a kind to be accepted.
@@ -188,7 +188,7 @@ class Extraction:
 
     def accepted(self) -> DataFrame:
         """record_id, kind, found_value, begin of the accepted instances."""
-        every = stage(self.records.mapInArrow(_rows, INSTANCES), "identifiers-instances")
+        every = stage(spread(self.records).mapInArrow(_rows, INSTANCES), "identifiers-instances")
         sure = every.where("seed")
         open_kinds = every
         links = open_kinds.select("kind", F.explode("tokens").alias("token"), "seed")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import spread
 from .textkernel import BREAK, MIX1, Words, chunks, rejoin, windows
 
 SCHEMA = "item_id bigint, doc_id bigint, tiles int, longest int, covered int, item_words int"
@@ -158,7 +159,7 @@ def leaks(documents: DataFrame, items: DataFrame, seed: int = 12, coverage: floa
     the item's words that the tiles cover. Null ids and null or empty texts take no part; an item or a document of fewer words than `seed` has no pair;
     rows given more than once count once.
     """
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text <> ''")
+    docs = spread(documents.select("doc_id", "text").where("doc_id is not null and text <> ''"))
     spark = documents.sparkSession
     sized = items.select("item_id", "text").where("item_id is not null and text <> ''").distinct()
     # a running total by item would need one task: blocks are cut by hash instead, enough of them for the bound

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import checked_broadcast, stage
+from ..plans.staging import checked_broadcast, spread, stage
 from .fmindex import FMIndex
 from .routing import RUN, distinct, routes
 from .textkernel import Words, chunks, windows
@@ -100,7 +100,7 @@ class SplitOverlap:
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """Matches between class representatives, and membership (record_id, side, rep): a class is the texts of one side with the same words."""
-        pairs, texts = routes(self.texts, self.share, self.hits)
+        pairs, texts = routes(spread(self.texts), self.share, self.hits)
         rep = texts.groupBy("sig", "side").agg(F.min("record_id").alias("rep"))
         members = stage(texts.join(rep, ["sig", "side"]).select("flush", "number", "record_id", "side", "rep"), "overlap-members")
         named = members.select("flush", "number", "side", "rep").distinct()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import checked_broadcast, stage
+from ..plans.staging import checked_broadcast, spread, stage
 
 SCHEMA = "budget_id int, container string, doc_id bigint, piece int, tokens int, closed boolean"
 #: Remainders that one task of the second level packs.
@@ -146,7 +146,7 @@ def pack(documents: DataFrame, budgets: DataFrame, path: str, pattern: str, most
         done = [c for d, i, n in zip(part["doc_id"], part["piece"], part["tokens"]) for c in p.add((d, i), int(n))] + p.rest()
         return pd.DataFrame([(b, f"b{g}-{k}", d, i, n) for k, items in enumerate(done) for (d, i), n in items], columns=["budget_id", "container", "doc_id", "piece", "tokens"])
 
-    placed = stage(documents.select("doc_id", "text").where("doc_id is not null and text <> ''").mapInArrow(run, SCHEMA), "packing")
+    placed = stage(spread(documents.select("doc_id", "text").where("doc_id is not null and text <> ''")).mapInArrow(run, SCHEMA), "packing")
     rest = placed.where("not closed")
     groups = max(1, rest.count() // GROUP)
     second = rest.groupBy("budget_id", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")).applyInPandas(again, "budget_id int, container string, doc_id bigint, piece int, tokens int")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import checked_broadcast, stage
+from ..plans.staging import checked_broadcast, spread, stage
 from .textkernel import MIX1, Words, chunks, mix
 
 PLACEHOLDER, ERROR, SCRIPT, FILLER = 1, 2, 3, 4
@@ -254,7 +254,7 @@ def residue(documents: DataFrame, similarity: float = 0.8, distance: int = 16) -
     similarity: least share of common words (numbers alike) for a label to spread between segments; distance: most differing bits.
     """
     rows = documents.select("doc_id", "text").where("doc_id is not null and text <> ''")
-    seg = stage(rows.mapInArrow(_segments, SEGMENTS), "residue-segments")
+    seg = stage(spread(rows).mapInArrow(_segments, SEGMENTS), "residue-segments")
     found = seg.where("label > 0").select("doc_id", "label", F.lit(False).alias("spread"))
     rest = seg.where("label = 0")
     known = seg.where("whole").groupBy("segment").agg(F.first("simhash").alias("simhash"), F.first("words").alias("words"), F.min("label").alias("label"))
@@ -271,8 +271,8 @@ def residue(documents: DataFrame, similarity: float = 0.8, distance: int = 16) -
         if fresh.isEmpty():
             break
         known, frontier = known.unionByName(fresh), fresh
-    spread = rest.select("doc_id", "segment").join(checked_broadcast(known.select("segment", F.col("label"))), "segment").select("doc_id", "label", F.lit(True).alias("spread"))
-    return found.unionByName(spread).groupBy("doc_id").agg(F.min("label").alias("label"), F.bool_and("spread").alias("spread"))
+    alike_ones = rest.select("doc_id", "segment").join(checked_broadcast(known.select("segment", F.col("label"))), "segment").select("doc_id", "label", F.lit(True).alias("spread"))
+    return found.unionByName(alike_ones).groupBy("doc_id").agg(F.min("label").alias("label"), F.bool_and("spread").alias("spread"))
 
 
 def without_residue(documents: DataFrame, **params: float) -> DataFrame:
