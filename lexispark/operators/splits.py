@@ -1,62 +1,158 @@
 """Splits with guarantees for rare labels, reports on them, folds, augmentation.
 
-Labels: (record_id, code), distinct. Forced placement runs on the driver over the first few documents of each label: as many as all placements can use up, so
-its input is bounded by the label space.
+Labels: (record_id, code), distinct. Forced placement runs on the driver over the first few documents of each label, held as numbers: its input follows the label space.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.staging import lookup
+from ..plans.staging import lookup, stage
 
 
 def label_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("code").agg(F.countDistinct("record_id").alias("n"))
 
 
-def rare_placement(labels: DataFrame, limit: int = 5_000) -> list[tuple[int, str, str]]:
+SPLITS = ("train", "val", "test")
+#: First documents of a label that are looked at before more of them are fetched, how many times as many then, and labels that one chain of moves may go through.
+FIRST_DOCS, DEEPER, CHAIN = 16, 8, 8
+
+
+class _Placement:
+    """Labels, numbered in the order in which they are placed, and the documents that are known of them, by falling width and id.
+
+    Of each known document all labels are known, so the counts by split are those of all documents; of a label with more than `depth` documents only the first `depth` are sure to be known.
+    """
+
+    def __init__(self, n: np.ndarray, depth: np.ndarray, record: np.ndarray, code: np.ndarray, width: np.ndarray) -> None:
+        self.n, self.depth = n, depth
+        self.ids, doc = np.unique(record, return_inverse=True)
+        order = np.lexsort((-record, -width, code))
+        self.docs, self.first = doc[order], np.searchsorted(code[order], np.arange(len(n) + 1))
+        order = np.argsort(doc, kind="stable")
+        self.codes, self.begin = code[order], np.searchsorted(doc[order], np.arange(len(self.ids) + 1))
+        self.at = np.full(len(self.ids), -1, np.int8)
+        self.bound = np.zeros(len(self.ids), bool)
+        self.count = np.zeros((len(n), 3), np.int32)
+        self.log: list[tuple[int, int, int, int]] = []
+        self.short: set[int] = set()
+
+    def wanted(self, c: int) -> tuple[int, ...]:
+        return (0,) if self.n[c] == 1 else (0, 2) if self.n[c] < 5 else (0, 1, 2)
+
+    def own(self, c: int) -> list[int]:
+        return self.docs[self.first[c] : min(self.first[c + 1], self.first[c] + self.depth[c])].tolist()
+
+    def set(self, i: int, split: int, c: int) -> None:
+        labels = self.codes[self.begin[i] : self.begin[i + 1]]
+        self.log.append((i, split, c, int(self.at[i])))
+        if self.at[i] >= 0:
+            self.count[labels, self.at[i]] -= 1
+        self.count[labels, split] += 1
+        self.at[i] = split
+
+    def undo(self, to: int) -> None:
+        while len(self.log) > to:
+            i, split, _, before = self.log.pop()
+            labels = self.codes[self.begin[i] : self.begin[i + 1]]
+            self.count[labels, split] -= 1
+            if before >= 0:
+                self.count[labels, before] += 1
+            self.at[i] = before
+
+    def broken(self, i: int, now: int) -> list[int]:
+        """Labels up to `now` that lose their only document of a split they need if i leaves it."""
+        labels = self.codes[self.begin[i] : self.begin[i + 1]]
+        return [c for c in labels[(labels <= now) & (self.count[labels, self.at[i]] == 1)].tolist() if self.at[i] in self.wanted(c)]
+
+    def give(self, c: int, split: int, now: int, fixed: frozenset[int] = frozenset()) -> bool:
+        """A document of c goes to the split: the first free one, else one that moves, if may be without taking anything from a label up to `now`, else such labels get another document."""
+        own = self.own(c)
+        for i in own:
+            if self.at[i] < 0:
+                self.set(i, split, c)
+                return True
+        if self.depth[c] < self.n[c]:
+            self.short.add(c)
+            return True
+        if len(fixed) >= CHAIN:
+            return False
+        movable = [(self.broken(i, now), i) for other in (2, 1, 0) if other != split for i in own if self.at[i] == other and not self.bound[i] and i not in fixed]
+        for lost, i in sorted(movable, key=lambda x: len(x[0])):
+            mark, other = len(self.log), int(self.at[i])
+            self.set(i, split, c)
+            if all(self.count[x, other] > 0 or self.give(x, other, now, fixed | {i}) for x in lost):
+                return True
+            self.undo(mark)
+        return False
+
+    def run(self) -> tuple[int, int] | None:
+        """Place all labels; the first label and split that can't be, if there is one. `short` has labels of which more documents have to be known: the result doesn't count then."""
+        failed = None
+        for c in range(len(self.n)):
+            for split in self.wanted(c):
+                if not self.count[c, split] and not self.give(c, split, c):
+                    failed = failed or (c, split)
+            if self.n[c] == 1:
+                self.bound[self.docs[self.first[c]]] = True
+        return failed
+
+
+def rare_placement(labels: DataFrame, limit: int | None = None) -> list[tuple[int, str, str]]:
     """(record_id, split, code) of forced placements: labels by rising count and name; of one document it goes to train, of two to four one goes to train and one to test,
-    of five or more one to each of train, val and test. The free document with most labels, then the highest id, is taken; without a free one a document that no single label binds moves.
+    of five or more one to each of train, val and test. The free document with most labels, then the highest id, is taken; without a free one a document that no single label binds moves,
+    if may be one that no earlier label needs where it is, else these get others.
 
-    An error if a rule can't be kept, and beyond `limit` labels: each label brings as many of its first documents as all placements together can use up, no more.
+    An error if a rule can't be kept, and beyond `limit` labels if one is given. The driver holds the counts of labels and, as numbers, the first FIRST_DOCS documents of each label with all labels of these;
+    of labels whose first ones are all placed by then it fetches more and begins anew.
     """
-    n = label_counts(labels)
-    total = n.count()
-    if total > limit:
+    labels = stage(labels.select("record_id", "code"), "placement-labels")
+    counts = label_counts(labels).toArrow()
+    if limit is not None and len(counts) > limit:
         raise ValueError(f"more than {limit} labels")
-    width = labels.groupBy("record_id").agg(F.count("*").alias("labels"))
-    most = 3 * total + 3
+    if not len(counts):
+        return []
+    n = counts["n"].to_numpy()
+    order = sorted(range(len(n)), key=lambda i, codes=counts["code"].to_pylist(): (n[i], codes[i]))
+    codes, n = counts["code"].combine_chunks().take(pa.array(order)), n[order]
+    ranked = stage(labels.join(labels.groupBy("record_id").agg(F.count("*").alias("labels")), "record_id"), "placement-widths")
+    depth = np.minimum(n, FIRST_DOCS)
+    parts = [_known(ranked, ranked, FIRST_DOCS, codes)]
+    while True:
+        record, code, width = (np.concatenate(x) for x in zip(*parts))
+        fresh = np.unique(np.stack([record, code]), axis=1, return_index=True)[1] if len(parts) > 1 else slice(None)
+        p = _Placement(n, depth, record[fresh], code[fresh], width[fresh])
+        failed = p.run()
+        if not p.short:
+            break
+        short = np.array(sorted(p.short))
+        for k in np.unique(depth[short]).tolist():
+            some = short[depth[short] == k]
+            these = labels.sparkSession.createDataFrame([(c,) for c in codes.take(pa.array(some)).to_pylist()], "code string")
+            parts.append(_known(ranked.join(these, "code"), ranked, k * DEEPER, codes))
+        depth = depth.copy()
+        depth[short] = np.minimum(n[short], depth[short] * DEEPER)
+    if failed:
+        raise ValueError(f"label {codes[failed[0]]} can't be placed in {SPLITS[failed[1]]}")
+    last = {i: k for k, (i, *_) in enumerate(p.log)}
+    return [(int(p.ids[i]), SPLITS[s], codes[c].as_py()) for k, (i, s, c, _) in enumerate(p.log) if last[i] == k]
+
+
+def _known(some: DataFrame, ranked: DataFrame, depth: int, codes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Record, number of the label and width for all labels of the first `depth` documents of each of some labels."""
     order = [F.desc("labels"), F.desc("record_id")]
     # the first documents of parts of a label, then of the label: a label of very many documents is no single task's window
     part = W.partitionBy("code", F.pmod(F.xxhash64("record_id"), F.lit(64))).orderBy(*order)
-    rows = labels.join(width, "record_id").withColumn("k", F.row_number().over(part)).where(F.col("k") <= most)
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("code").orderBy(*order))).where(F.col("k") <= most)
-    docs: dict[str, list[tuple[int, int]]] = {}
-    for r in rows.select("code", "labels", "record_id").collect():
-        docs.setdefault(r["code"], []).append((r["labels"], r["record_id"]))
-    counts = {r["code"]: r["n"] for r in n.collect()}
-    placed: dict[int, str] = {}
-    bound: set[int] = set()
-    out: list[tuple[int, str, str]] = []
-    for code in sorted(counts, key=lambda c: (counts[c], c)):
-        own = [i for _, i in sorted(docs[code], reverse=True)]
-        wanted = ("train",) if counts[code] == 1 else ("train", "test") if counts[code] < 5 else ("train", "val", "test")
-        for split in wanted:
-            if any(placed.get(i) == split for i in own):
-                continue
-            free = [i for i in own if i not in placed]
-            movable = [i for other in ("test", "val", "train") if other != split for i in own if placed.get(i) == other and i not in bound]
-            if not free and (not movable or split == "train"):
-                raise ValueError(f"label {code} can't be placed in {split}")
-            placed[(free or movable)[0]] = split
-            out.append(((free or movable)[0], split, code))
-        if counts[code] == 1:
-            bound.add(own[0])
-    last = {i: (i, s, c) for i, s, c in out}
-    return [x for x in out if last[x[0]] == x]
+    rows = some.withColumn("k", F.row_number().over(part)).where(F.col("k") <= depth)
+    docs = rows.withColumn("k", F.row_number().over(W.partitionBy("code").orderBy(*order))).where(F.col("k") <= depth).select("record_id").distinct()
+    t = ranked.join(docs, "record_id", "left_semi").select("record_id", "code", "labels").toArrow()
+    return t["record_id"].to_numpy(), pc.index_in(t["code"], value_set=codes).to_numpy().astype(np.int64), t["labels"].to_numpy()
 
 
 def two_way(labels: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
