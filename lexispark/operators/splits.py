@@ -168,6 +168,8 @@ def stratified(labels: DataFrame, test: float = 0.1, val: float = 0.1, seed: int
     A record's stratum is its rarest label; inside a stratum records are numbered in hashed order and the numbers cut in the wanted shares.
     """
     spark = labels.sparkSession
+    # once for all passes: each would else take its own of several rows of a record
+    labels = stage(labels.select("record_id", "code"), "stratified-labels")
     fixed = spark.createDataFrame([(i, s) for i, s, _ in rare_placement(labels)] if forced else [], "record_id bigint, forced string")
     stratum = labels.join(lookup(label_counts(labels), "label-counts"), "code").groupBy("record_id").agg(F.min(F.struct("n", "code")).alias("s"))
     key = F.xxhash64("record_id", F.lit(seed))

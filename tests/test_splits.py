@@ -34,6 +34,14 @@ def test_more_labels_than_five_thousand_are_placed(spark):
     assert {i: s for i, s, _ in placed} == by_hand(rows)
 
 
+def test_split_of_more_labels_than_five_thousand_breaks_no_rule(spark):
+    rows = {(i, f"r{i // 2}") for i in range(10_400)} | {(i, f"c{i % 7}") for i in range(10_500)}
+    labels = frame(spark, rows)
+    split = splits.stratified(labels).cache()
+    assert split.count() == 10_500
+    assert splits.violations(splits.split_report(labels, split)).count() == 0
+
+
 def test_placement_looks_deeper_where_the_first_documents_are_placed(spark):
     # the widest documents of "many" all go to train for a label of their own; those that may go elsewhere stand far behind them
     rows = {(i, f"{k}-{i:03}") for i in range(150) for k in "xyz"} | {(i, "many") for i in range(160)}
