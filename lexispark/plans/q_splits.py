@@ -80,7 +80,8 @@ def stratified_violations(s, d):
     """Labels of the made split that break a rule: none."""
     from .staging import stage
 
-    x = _labels(s, d).select("record_id", "code")
+    # the labels that are split are those that are counted, also where a record has several rows
+    x = stage(_labels(s, d).select("record_id", "code"), "labels")
     return P.violations(P.split_report(x, stage(P.stratified(x), "stratified")))
 
 

@@ -74,3 +74,11 @@ def test_a_rule_that_cannot_be_kept_is_an_error(spark):
     rows = {(1, "a"), (2, "b"), (1, "z"), (2, "z")}
     with pytest.raises(ValueError, match="label z can't be placed in test"):
         splits.rare_placement(frame(spark, rows))
+
+
+def test_violations_of_more_labels_than_five_thousand(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rows = [(i, "train", [[f"r{i // 2}"], [f"c{i % 7}"]]) for i in range(10_400)] + [(i, "train", [[f"c{i % 7}"]]) for i in range(10_400, 10_500)] + [(7, "val", [["r3", "c0"]])]
+    spark.createDataFrame(rows, "record_id long, split string, document_level_annotations array<array<string>>").write.parquet(f"{tmp_path}/records.parquet")
+    assert e.queries()["stratified_violations"](spark, str(tmp_path)).count() == 0
