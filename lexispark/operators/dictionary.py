@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.text import let, ngrams, normalize_text, tokenize
-from ..plans.staging import checked_broadcast
+from ..plans.staging import checked_broadcast, stage
 
 
 def load(raw: DataFrame, term: str = "term", codes: str = "codes_pipe_sep", blacklist: list[str] | None = None) -> DataFrame:
@@ -245,34 +245,97 @@ class Chain:
     fuzzy: float | None = None
 
 
+def cut_section(norm: str, headers: list[str], stops: list[str]) -> tuple[str, str]:
+    """(segment, rest) as split_section has them, of one text."""
+    at = min((norm.find(h) for h in headers if h in norm), default=-1)
+    if at < 0:
+        return "", norm
+    after = norm[at:]
+    end = min((after.find(s) for s in stops if s in after), default=len(after))
+    return after[:end], norm[:at] + after[end:]
+
+
+def _chained(chain: Chain, norm: str, codes: set[str], inside: set[str] | None, outside: set[str] | None) -> set[str]:
+    """The codes of one text behind boosts, rules, section and negations. inside, outside: codes of its section and of what is around it, None without a section."""
+    now = set(codes)
+    for patterns, add in chain.boosts:
+        if any(p in norm for p in patterns):
+            now.update(add)
+    for any_of, add in chain.rules:
+        if not now.isdisjoint(any_of):
+            now.update(add)
+    if inside is not None:
+        now = now - (inside - outside) | {chain.section[2]}
+    for negator, disease, drop in chain.negations:
+        if negator in norm and disease in norm and not now.isdisjoint(drop):
+            tokens = norm.split(" ")
+            at = [next((i for i, t in enumerate(tokens) if x in t), None) for x in (negator, disease)]
+            if None not in at and abs(at[0] - at[1]) <= chain.window + 1:
+                now.difference_update(drop)
+    return now
+
+
 def predict_chain(texts: DataFrame, dictionary: DataFrame, chain: Chain, key: str = "record_id", text: str = "text", descriptions: DataFrame | None = None) -> DataFrame:
     """key, codes (sorted; texts without a code are absent): match, boosts, rules, section filter, negation filter, fuzzy fallback, in that order.
 
     The section filter takes away codes whose terms match only inside the section; codes that boosts and rules added stay, as do those with a match outside.
+    Each text is normalized once and goes through the whole chain in one pass; only where the dictionary is larger than AUTOMATON_TERMS what its parts match is joined to it. Keys are given once.
     """
-    none = F.array().cast("array<string>")
-    rows = texts.select(key, text, normalize_text(F.col(text), fold_sigma=True).alias("norm")).where(f"{key} is not null and norm <> ''")
-    found = predict(rows, dictionary, key, text, chain.whole_words)
-    j = rows.join(found, key, "left").withColumn("codes", F.coalesce("codes", none))
-    codes = L.close(L.boost(F.col("norm"), F.col("codes"), list(chain.boosts)), list(chain.rules)) if chain.boosts or chain.rules else F.col("codes")
-    j = j.withColumn("now", codes)
-    if chain.section:
-        headers, stops, flag = chain.section
-        segment, rest = split_section("n", headers, stops)
-        parts = j.withColumn("x", F.expr(f"element_at(transform(array(norm), n -> struct({segment} as segment, {rest} as rest)), 1)"))
-        outside = predict(parts.where("x.segment <> ''").select(key, F.col("x.rest").alias("rest")), dictionary, key, "rest", chain.whole_words).withColumnRenamed("codes", "outside")
-        inside = predict(parts.where("x.segment <> ''").select(key, F.col("x.segment").alias("segment")), dictionary, key, "segment", chain.whole_words).withColumnRenamed("codes", "inside")
-        only = F.array_except(F.coalesce("inside", none), F.coalesce("outside", none))
-        j = parts.join(outside, key, "left").join(inside, key, "left").withColumn("now", F.when(F.col("x.segment") == "", F.col("now")).otherwise(F.array_union(F.array_except("now", only), F.array(F.lit(flag)))))
-    if chain.negations:
-        j = j.join(negation_filter(j.select(key, text, "now"), list(chain.negations), chain.window, key, text, "now").withColumnRenamed("now", "kept"), key).withColumn("now", F.col("kept"))
-    out = j.select(key, F.explode("now").alias("code"))
+    rows = dictionary.select("term", "codes").limit(AUTOMATON_TERMS + 1).collect()
+    norm = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), normalize_text(F.col(text), fold_sigma=True).alias("norm"))
+    headers, stops = chain.section[:2] if chain.section else ([], [])
+    if len(rows) > AUTOMATON_TERMS:
+        norm = _matched_parts(norm, dictionary, headers, stops, chain.whole_words)
+        terms = None
+    else:
+        terms = texts.sparkSession.sparkContext.broadcast({r["term"]: list(r["codes"]) for r in rows})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        a, pad = ahocorasick.Automaton(), " " if chain.whole_words else ""
+        for t, codes in terms.value.items() if terms is not None else ():
+            a.add_word(f"{pad}{t}{pad}", codes)
+        a.make_automaton()
+        find = lambda x: {c for _, codes in a.iter(f"{pad}{x}{pad}") for c in codes} if len(a) else set()
+        for b in batches:
+            out = []
+            for k, s, *matched in zip(*(c.to_pylist() for c in b.columns)):
+                if not s:
+                    continue
+                if terms is None:
+                    codes, *parts = (None if m is None else set(m) for m in matched)
+                else:
+                    segment, rest = cut_section(s, headers, stops)
+                    codes, parts = find(s), [find(" ".join(x.split())) for x in (segment, rest)] if segment else [None, None]
+                if now := _chained(chain, s, codes, *parts):
+                    out.append((k, list(now)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([c for _, c in out], pa.list_(pa.string()))], names=["key", "codes"])
+
+    out = norm.mapInArrow(run, "key bigint, codes array<string>").select(F.col("key").alias(key), F.explode("codes").alias("code"))
     if chain.fuzzy is not None and descriptions is not None:
         covered = dictionary.select(F.explode("codes").alias("code"))
         out = out.unionByName(fuzzy_fallback(texts, descriptions, chain.fuzzy, key, text, covered))
     return out.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
 
+def _matched_parts(norm: DataFrame, dictionary: DataFrame, headers: list[str], stops: list[str], whole_words: bool) -> DataFrame:
+    """key, norm, codes, inside, outside of texts (key, norm): what a dictionary too large for an automaton matches in each, in its section and around it; the latter null without a section."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [cut_section(s or "", headers, stops) for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.string()) for x in zip(*cut))] if cut else [b.column(0), b.column(1), *[pa.array([], pa.string())] * 2], names=["key", "norm", "segment", "rest"])
+
+    parts = stage(norm.mapInArrow(run, "key bigint, norm string, segment string, rest string"), "chain-parts")
+    none = F.array().cast("array<string>")
+    found = lambda x, name: predict(parts.where("segment <> ''") if x != "norm" else parts, dictionary, "key", x, whole_words).withColumnRenamed("codes", name)
+    j = parts.join(found("norm", "codes"), "key", "left").join(found("segment", "inside"), "key", "left").join(found("rest", "outside"), "key", "left")
+    within = lambda c: F.when(F.col("segment") != "", F.coalesce(c, none))
+    return j.select("key", "norm", F.coalesce("codes", none).alias("codes"), within("inside").alias("inside"), within("outside").alias("outside"))
+
+
 def coverage(gold: DataFrame, predicted: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: documents, documents with a prediction, labels, labels predicted, both ratios to four digits."""
     docs = gold.select("record_id").distinct()
