@@ -9,12 +9,15 @@ that has to send one all the same sends it to each of these buckets.
 Four shuffles, each of arrays: (1) texts of a task are gathered into flushes; a flush sends each bucket of hash values the runs of its texts, 4 bytes each.
 (2) A bucket knows who holds each run. It keeps the holders and tells each flush how frequent the runs of its texts are, one byte each. (3) A flush settles for every
 text which runs are left out and tells the buckets. (4) A bucket sends each sender's flush the holders of what was sent; the flush adds them up.
+
+Large collections take (4) in passes, each for a part of the flushes: its shuffle is removed before the next one.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import release, stage
 from .textkernel import MIX1, Words, chunks, mix, windows
 
 RUN = 5
@@ -33,6 +36,8 @@ FLUSH_RUNS, FLUSH_TEXTS, BUCKET_RUNS = 2_000_000, 1 << 16, 2_000_000
 RUN_CHARS = 6
 #: Met pairs that are held at once.
 MET = 4_000_000
+#: Characters of a collection for each pass of meeting: what is met grows faster than the input, what one pass writes in proportion.
+PASS_CHARS = 700_000_000
 PACKED = "kind int, bucket int, flush bigint, data binary"
 POSTINGS, FREQUENCIES, TEXTS, CHOICE, HOLDERS, VISITS = range(6)
 #: Holders of a run from which on it is spread over several buckets, as many for each; texts of the sample that finds such runs, and how many of them may be found.
@@ -310,15 +315,23 @@ def _settle(share: float, hits: int, spread: Broadcast | None = None):
     return run
 
 
-def _meet(key: tuple, posted: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
-    """For each flush the senders among its texts with the larger texts of the other side that hold a run they sent."""
+def _pass_of(flush: int, passes: int) -> int:
+    return int(mix(np.array([flush], np.uint64))[0] % np.uint64(passes))
+
+
+def _meeting(now: int, passes: int):
+    return lambda key, posted, chosen: _meet(key, posted, chosen, now, passes)
+
+
+def _meet(key: tuple, posted: pd.DataFrame, chosen: pd.DataFrame, now: int = 0, passes: int = 1) -> pd.DataFrame:
+    """For each flush of the pass the senders among its texts with the larger texts of the other side that hold a run they sent."""
     if not len(posted) or not len(chosen):
         return _frame([])
     flushes, bases, owner, size, train, names = pickle.loads(posted["data"].iloc[0])
     owner, size, train = _join(*owner), size.astype(np.int64), train.astype(np.int64)
     base_of = dict(zip(flushes.tolist(), bases.tolist()))
     parts = []
-    visits = chosen[chosen["kind"] == VISITS]
+    visits = chosen[(chosen["kind"] == VISITS) & chosen["flush"].map(lambda f: _pass_of(f, passes) == now).astype(bool)]
     chosen = chosen[chosen["kind"] == CHOICE]
     for f, data in zip(chosen["flush"], chosen["data"]):
         own, level, drop, n = pickle.loads(data)
@@ -344,6 +357,8 @@ def _meet(key: tuple, posted: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFram
     cut = np.searchsorted(owner[sender], bases)
     out = _visited(key, visits, flushes, bases, owner, at, n, first, size, train, names)
     for i, f in enumerate(flushes):
+        if _pass_of(f, passes) != now:
+            continue
         a, b = cut[i], cut[i + 1] if i + 1 < len(cut) else len(sender)
         total = np.cumsum(count[a:b])
         while a < b:
@@ -453,6 +468,15 @@ def routes(texts: DataFrame, share: float, hits: int) -> tuple[DataFrame, DataFr
     known = stage(sent.withColumn("group", group).groupBy("group").applyInPandas(_bucket(buckets), PACKED), "routes-buckets")
     chosen = stage(known.where(F.col("kind").isin(FREQUENCIES, TEXTS)).groupBy("flush").applyInPandas(_settle(share, hits, spread), PACKED), "routes-choice")
     posted = known.where(F.col("kind") == POSTINGS)
-    met = posted.groupBy("bucket").cogroup(chosen.where("bucket >= 0").groupBy("bucket")).applyInPandas(_meet, PACKED)
-    pairs = met.unionByName(chosen.where("bucket < 0")).groupBy("flush").applyInPandas(_count, "flush_a bigint, number_a bigint, flush_b bigint, number_b bigint")
+    passes = max(1, -(-chars // PASS_CHARS))
+    parts = []
+    for k in range(passes):
+        met = posted.groupBy("bucket").cogroup(chosen.where("bucket >= 0").groupBy("bucket")).applyInPandas(_meeting(k, passes), PACKED)
+        part = met.unionByName(chosen.where("bucket < 0")).groupBy("flush").applyInPandas(_count, "flush_a bigint, number_a bigint, flush_b bigint, number_b bigint")
+        if passes > 1:
+            part = stage(part, "routes-pairs")
+            del met
+            release(texts.sparkSession)
+        parts.append(part)
+    pairs = reduce(DataFrame.unionByName, parts)
     return pairs, known.where(F.col("kind") == TEXTS).select("flush", "data").mapInArrow(_texts, "flush bigint, number bigint, record_id bigint, sig bigint, side int, runs int")
