@@ -13,13 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.staging import lookup, stage
+from .stratification import SPLITS, stratify
 
 
 def label_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("code").agg(F.countDistinct("record_id").alias("n"))
 
 
-SPLITS = ("train", "val", "test")
 #: First documents of a label that are looked at before more of them are fetched, how many times as many then, and labels that one chain of moves may go through.
 FIRST_DOCS, DEEPER, CHAIN = 16, 8, 8
 
@@ -162,24 +162,23 @@ def two_way(labels: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
     return r.join(single, "record_id", "left").select("record_id", F.coalesce("forced", "split").alias("split"))
 
 
-def stratified(labels: DataFrame, test: float = 0.1, val: float = 0.1, seed: int = 42, forced: bool = True) -> DataFrame:
-    """record_id, split: forced rare placements, then records dealt out inside their rarest label, so that each label is spread in proportion.
+def stratified(labels: DataFrame, test: float = 0.1, val: float = 0.1, seed: int = 42, forced: bool = True, records: DataFrame | None = None) -> DataFrame:
+    """record_id, split: forced rare placements, then iterative stratification of the others, test first, then validation, to the exact sizes. records: record_id of all records, also of those without labels.
 
-    A record's stratum is its rarest label; inside a stratum records are numbered in hashed order and the numbers cut in the wanted shares.
+    Where more records are forced into a split than its share, it takes no others. One task goes through the labels, since each step depends on all before it (`stratification`); the result is staged.
     """
     spark = labels.sparkSession
     # once for all passes: each would else take its own of several rows of a record
     labels = stage(labels.select("record_id", "code"), "stratified-labels")
-    fixed = spark.createDataFrame([(i, s) for i, s, _ in rare_placement(labels)] if forced else [], "record_id bigint, forced string")
-    stratum = labels.join(lookup(label_counts(labels), "label-counts"), "code").groupBy("record_id").agg(F.min(F.struct("n", "code")).alias("s"))
-    key = F.xxhash64("record_id", F.lit(seed))
-    # a stratum is dealt out in 64 parts, so that a label of very many records is no single task's window
-    w = W.partitionBy("s", F.pmod(key, F.lit(64))).orderBy(key, "record_id")
-    r = stratum.withColumn("k", F.row_number().over(w) - 1)
-    # low-discrepancy: every 1/share-th number goes to the split
-    share = lambda a: F.floor((F.col("k") + 1) * a) > F.floor(F.col("k") * a)
-    dealt = F.when(share(test), "test").when(F.floor((F.col("k") + 4) * val) > F.floor((F.col("k") + 3) * val), "val").otherwise("train")
-    return r.join(fixed, "record_id", "left").select("record_id", F.coalesce("forced", dealt).alias("split"))
+    fixed = spark.createDataFrame([(i, SPLITS.index(s)) for i, s, _ in rare_placement(labels)] if forced else [], "record_id bigint, forced tinyint")
+    # of labels with as many records left the first in hashed order is next
+    numbers = labels.select("code").distinct().select("code", (F.row_number().over(W.orderBy(F.xxhash64("code", F.lit(seed)), "code")) - 1).alias("c"))
+    sets = labels.join(lookup(numbers, "label-numbers"), "code").groupBy("record_id").agg(F.collect_set("c").alias("codes"))
+    if records is not None:
+        sets = sets.join(records.select("record_id").distinct(), "record_id", "full")
+    rows = sets.join(fixed, "record_id", "left").select("record_id", F.coalesce("forced", F.lit(-1).cast("tinyint")).alias("forced"), F.coalesce("codes", F.array().cast("array<int>")).alias("codes"))
+    r = rows.repartition(1).sortWithinPartitions("record_id").mapInArrow(lambda batches: stratify(batches, test, val, seed, forced), "record_id bigint, split string")
+    return stage(r, "stratified-split")
 
 
 def split_report(labels: DataFrame, splits: DataFrame) -> DataFrame:
